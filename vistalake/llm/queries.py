@@ -1,6 +1,6 @@
 """All queries of this package; importing the operators registers them."""
 
-from vistalake.llm import pii, secrets  # noqa: F401
+from vistalake.llm import packing, pii, secrets, token_counts  # noqa: F401
 from vistalake.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
