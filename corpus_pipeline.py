@@ -1,14 +1,65 @@
-"""A corpus pipeline over documents: one stage after the other, each written and reread."""
+"""A corpus pipeline over ``documents``: quality, near duplicates, benchmark leaks, secrets, packing.
 
-from vistalake.llm import common
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return
+the columns of documents.
+"""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vistalake.llm import decontaminate, ngram_join, packing, quality, secrets
+from vistalake.llm.common import shared_dir, table, written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. A null or empty text is scored like any other."""
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.filter("predicted = 1").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest id stays; of rows that repeat an id, one stays.
+
+    Rows without words or without an id are in no group and stay.
+    """
+    heads = ngram_join.link(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts give way to a mark; n_chars follows. No document goes."""
+    safe = secrets.redacted(docs, shared_dir(spark))
+    return safe.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All remaining documents as pieces in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+
+#: The classifier, the edit distance and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies all stages to ``documents`` and returns the last one's rows."""
-    docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir))
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies all stages to ``documents``; each result is written and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -72,18 +72,19 @@ def unseen(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule]) -> Dat
     return one.join(seen, "blob", "left").select("blob", "path", F.transform(left, lambda x: x["kind"]).alias("kinds")).filter(F.size("kinds") > 0)
 
 
-def scan(docs: DataFrame, ledger_path: str, path: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Brings the ledger up to date and returns one row per row of ``docs``: path, blob, spans.
+def blobs(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """path, text and blob of every row; a null text counts as empty."""
+    return docs.select(F.col(path).alias("path"), text_or_empty(text).alias("text")).withColumn("blob", F.sha2("text", 256))
 
-    ``spans`` holds every finding of every rule, by start and then by the order of ``rules``. A null text
-    counts as empty and has none. Rows with equal paths are kept apart by their content; repeated
-    rows give repeated results. A null path is kept. Columns other than the two named are not read.
-    An empty table gives no rows.
+
+def findings(docs: DataFrame, ledger_path: str, path: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Brings the ledger up to date and returns its findings under ``rules``: blob, spans, for blobs that have some.
+
+    ``spans`` are ordered by start and then by the order of ``rules``. The ledger may hold blobs that ``docs`` lacks.
     """
     spark = docs.sparkSession
-    content = docs.select(F.col(path).alias("path"), text_or_empty(text).alias("text")).withColumn("blob", F.sha2("text", 256))
-    versions = content.select("path", "blob")
-    todo = unseen(versions, read_ledger(spark, ledger_path), rules)
+    content = blobs(docs, path, text)
+    todo = unseen(content.select("path", "blob"), read_ledger(spark, ledger_path), rules)
     # the text moves once, and only for blobs that need a scan; ids of blobs are small rows
     due = content.join(todo.withColumnsRenamed({"path": "at", "blob": "of"}), F.col("path").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("of")))
     result = F.array(
@@ -96,14 +97,38 @@ def scan(docs: DataFrame, ledger_path: str, path: str = "doc_id", text: str = "t
     rows.write.mode("append").parquet(ledger_path)
 
     now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-    kinds = [r.kind for r in rules]
     current = spark.read.schema(LEDGER).parquet(ledger_path).filter(F.array_contains(now, F.struct("kind", "version")) & (F.size("spans") > 0))
-    order = F.array(*map(F.lit, kinds))
+    order = F.array(*[F.lit(r.kind) for r in rules])
     # repeated rows scan a blob twice; the set holds each finding once
     found = current.groupBy("blob").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     by_place = F.transform("spans", lambda s: F.struct(s["start"].alias("at"), F.array_position(order, s["kind"]).alias("place"), s.alias("s")))
-    found = found.select("blob", F.transform(F.array_sort(by_place), lambda x: x["s"]).alias("spans"))
-    return versions.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(S.SPAN)).alias("spans"))
+    return found.select("blob", F.transform(F.array_sort(by_place), lambda x: x["s"]).alias("spans"))
+
+
+def scan(docs: DataFrame, ledger_path: str, path: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Brings the ledger up to date and returns one row per row of ``docs``: path, blob, spans.
+
+    A null text counts as empty and has no spans. Rows with equal paths are kept apart by their content; repeated
+    rows give repeated results. A null path is kept. Columns other than the two named are not read.
+    An empty table gives no rows.
+    """
+    found = findings(docs, ledger_path, path, text, rules)
+    return blobs(docs, path, text).select("path", "blob").join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(S.SPAN)).alias("spans"))
+
+
+def redacted(docs: DataFrame, ledger_path: str, path: str = "doc_id", text: str = "text", mark: str = "<secret>") -> DataFrame:
+    """``docs`` with every finding replaced by ``mark``, overlapping ones by one; other rows and all columns stay as they are."""
+    found = findings(docs, ledger_path, path, text).withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def cut(acc: Column, s: Column) -> Column:
+        before = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        grown = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), grown.alias("out"))
+
+    whole = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.char_length(text))))
+    joined = docs.withColumn("_of", F.sha2(text_or_empty(text), 256)).join(found, F.col("_of") == F.col("_blob"), "left")
+    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(whole)).select(*docs.columns)
 
 
 def digest(found: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
