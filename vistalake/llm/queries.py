@@ -1,6 +1,6 @@
 """All queries of this package; importing the operators registers them."""
 
-from vistalake.llm import decontaminate, ngram_join, packing, pii, quality, secrets, token_counts  # noqa: F401
+from vistalake.llm import decontaminate, ngram_join, packing, pii, quality, secrets, token_counts, topk  # noqa: F401
 from vistalake.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
