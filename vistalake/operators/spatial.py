@@ -93,3 +93,117 @@ def frame_verdict(primitives: DataFrame, max_px: float = law.ADJACENT_MAX_PX) ->
             F.when(F.col("n_assertions") == 0, law.EMPTY).when(F.col("n_false") > 0, law.FAIL).when(F.col("n_heuristic") > 0, law.PARTIAL).otherwise(law.PASS),
         )
     )
+
+
+def near_pairs(primitives: DataFrame, max_px: float = law.ADJACENT_MAX_PX) -> DataFrame:
+    """Pairs a < b of valid boxes of a frame that are at most ``max_px`` apart, with all box columns (prefixes a_ and b_).
+
+    Each box, grown by ``max_px``, is laid on grid cells of that size and meets only boxes that start in one of its cells: no
+    all-pairs join of a frame. A pair is kept where the later box's anchor cell is met, so that it appears once for each order.
+    """
+    kept = valid_primitives(primitives).select("frame_id", "prim_idx", "kind", *BOX, "confidence")
+    cell = float(max(max_px, 1.0))
+    # the larger of both origins lies within the other box grown by max_px, in each axis
+    reach = lambda lo, side: F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(lo) + F.col(side) + max_px) / cell))
+    a = kept.select(*[F.col(c).alias(f"a_{c}") for c in kept.columns]).withColumn("cx", F.explode(reach("a_x", "a_width")))
+    b = kept.select(*[F.col(c).alias(f"b_{c}") for c in kept.columns]).withColumn("cx", F.floor(F.col("b_x") / cell))
+    met = a.join(b, (F.col("a_frame_id") == F.col("b_frame_id")) & (a["cx"] == b["cx"]))
+    # x decides who reaches whom; equal origins go by index
+    first = (F.col("a_x") < F.col("b_x")) | ((F.col("a_x") == F.col("b_x")) & (F.col("a_prim_idx") < F.col("b_prim_idx")))
+    pairs = met.filter(first & (edge_distance("a_", "b_") <= max_px)).drop("cx", "b_frame_id").withColumnRenamed("a_frame_id", "frame_id")
+    return pairs
+
+
+def adjacent(primitives: DataFrame, max_px: float = law.ADJACENT_MAX_PX) -> DataFrame:
+    """All TRUE relations ADJACENT: frame_id, i < j, measured, status. How many are FALSE follows from the number of pairs."""
+    pairs = near_pairs(primitives, max_px)
+    return pairs.select(
+        "frame_id",
+        F.least("a_prim_idx", "b_prim_idx").alias("i"),
+        F.greatest("a_prim_idx", "b_prim_idx").alias("j"),
+        edge_distance("a_", "b_").alias("measured"),
+        relation_status("a_", "b_").alias("status"),
+    )
+
+
+def contains(primitives: DataFrame, margin: float = law.CONTAINS_MIN_MARGIN_PX) -> DataFrame:
+    """All TRUE relations CONTAINS, in either direction: frame_id, outer_idx, inner_idx, measured (the least of four margins)."""
+    pairs = near_pairs(primitives, 0.0)
+    out = None
+    for o, i in (("a_", "b_"), ("b_", "a_")):
+        some = pairs.select("frame_id", F.col(f"{o}prim_idx").alias("outer_idx"), F.col(f"{i}prim_idx").alias("inner_idx"), containment_margin(o, i).alias("measured"), relation_status(o, i).alias("status"))
+        out = some if out is None else out.unionByName(some)
+    return out.filter(F.col("measured") >= margin)
+
+
+def frame_summary(primitives: DataFrame) -> DataFrame:
+    """Per frame: primitives, valid ones, relations of all pairs (three each), TRUE ones of both kinds."""
+    ok = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("width") * F.col("height") >= law.MIN_AREA)
+    frames = primitives.groupBy("frame_id").agg(F.count("*").alias("n_primitives"), F.count_if(ok).alias("n_valid"))
+    near = adjacent(primitives).groupBy("frame_id").agg(F.count("*").alias("adjacent_true"))
+    inside = contains(primitives).groupBy("frame_id").agg(F.count("*").alias("contains_true"))
+    return (
+        frames.join(near, "frame_id", "left")
+        .join(inside, "frame_id", "left")
+        .select("frame_id", "n_primitives", "n_valid", F.expr("n_valid * (n_valid - 1) div 2 * 3").alias("n_relations"), F.coalesce("adjacent_true", F.lit(0)).alias("adjacent_true"), F.coalesce("contains_true", F.lit(0)).alias("contains_true"))
+    )
+
+
+def margin_headroom(relations: DataFrame, threshold: float = law.ADJACENT_MAX_PX) -> DataFrame:
+    """Adds how far an ADJACENT relation (measured, result) is from flipping, and the jitter under which it is stable."""
+    headroom = F.when(F.col("result"), F.lit(threshold) - F.col("measured")).otherwise(F.col("measured") - threshold)
+    return relations.withColumn("headroom", headroom).withColumn("stable_under", F.when(F.col("headroom") > 0, F.col("headroom") / 2).otherwise(0.0))
+
+
+def bind(primitives: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Bindings (frame_id, name, prim_idx) whose primitive exists and is valid, with its kind and centre."""
+    boxes = bbox_columns(valid_primitives(primitives)).select("frame_id", "prim_idx", "kind", "cx", "cy")
+    return bindings.join(boxes, ["frame_id", "prim_idx"]).select("frame_id", "name", "prim_idx", "kind", "cx", "cy")
+
+
+def type_check_frames(primitives: DataFrame, operations: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Per frame: violations by rule and verdict EMPTY (no primitive), ILL_TYPED or WELL_TYPED.
+
+    ``operations``: frame_id, op, a_idx, b_idx. Rules: an invalid primitive; an operation of a primitive with itself; CONTAINS with
+    a smaller outer box; a blank binding name. Operations on missing primitives are skipped.
+    """
+    boxes = bbox_columns(primitives)
+    ok = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("area") >= law.MIN_AREA)
+    frames = boxes.groupBy("frame_id").agg(F.count("*").alias("n_primitives"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_invalid"))
+    side = lambda p: boxes.select("frame_id", F.col("prim_idx").alias(f"{p}_idx"), F.col("area").alias(f"{p}_area"))
+    ops = operations.join(side("a"), ["frame_id", "a_idx"]).join(side("b"), ["frame_id", "b_idx"])
+    itself = F.col("a_idx") == F.col("b_idx")
+    smaller = (F.col("op") == "CONTAINS") & (F.col("a_area") < F.col("b_area"))
+    by_op = ops.groupBy("frame_id").agg(F.count_if(itself).alias("n_self"), F.count_if(smaller).alias("n_area"))
+    blank = bindings.groupBy("frame_id").agg(F.count_if(F.trim(F.coalesce("name", F.lit(""))) == "").alias("n_blank"))
+    counts = ["n_invalid", "n_self", "n_area", "n_blank"]
+    all_ = frames.join(by_op, "frame_id", "left").join(blank, "frame_id", "left").fillna(0, counts)
+    bad = sum((F.col(c) for c in counts[1:]), F.col(counts[0]))
+    return all_.select("frame_id", "n_primitives", *counts, F.when(F.col("n_primitives") == 0, "EMPTY").when(bad > 0, "ILL_TYPED").otherwise("WELL_TYPED").alias("verdict"))
+
+
+def reading_order(boxes: DataFrame, band: float = 80.0) -> DataFrame:
+    """Position of each box of a frame by bands of centre y, then centre x, then index."""
+    b = bbox_columns(boxes).withColumn("row_band", F.floor(F.col("cy") / band))
+    order = Window.partitionBy("frame_id").orderBy("row_band", "cx", "prim_idx")
+    return b.select("frame_id", "prim_idx", "row_band", "cx", F.row_number().over(order).alias("position"))
+
+
+def calibration_factors(profiles: DataFrame) -> DataFrame:
+    """Profiles (profile, megapixels, noise, distortion, distance) with the ceiling that they set on confidence; null for an invalid one."""
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))
+    mp, far = F.col("megapixels"), F.col("distance") - law.DISTANCE_BASE_M
+    bonus = F.when(mp > 0, F.least(F.greatest(F.log2(F.greatest(mp, F.lit(0.1)) / law.RESOLUTION_BASE_MP) * law.RESOLUTION_PER_DOUBLING, F.lit(0.0)), F.lit(law.RESOLUTION_MAX))).otherwise(0.0)
+    away = F.when(far > 0, far * law.DISTANCE_DECAY).otherwise(0.0)
+    ceiling = law.CEILING_MAX + bonus - away - unit("noise") * law.NOISE_FACTOR - unit("distortion") * law.DISTORTION_FACTOR
+    valid = (mp > 0) & (F.col("distance") >= 0)
+    return profiles.withColumns({"bonus": bonus, "distance_penalty": away, "ceiling": F.when(valid, F.greatest(F.lit(law.CEILING_FLOOR), F.least(F.lit(1.0), ceiling)))})
+
+
+def calibrate(primitives: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Primitives (with a column profile) whose confidence the profile's ceiling caps; verdict INVALID_PROFILE for an unknown or invalid one."""
+    raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
+    known = primitives.join(calibration_factors(profiles).select("profile", "ceiling"), "profile", "left").withColumn("raw", raw)
+    capped = F.col("raw") > F.col("ceiling")
+    verdict = F.when(F.col("ceiling").isNull(), "INVALID_PROFILE").when(~capped, "UNCAPPED").when(F.col("ceiling") < law.DEGRADED_BELOW, "DEGRADED").otherwise("CALIBRATED")
+    return known.select("frame_id", "prim_idx", "profile", "raw", F.least("raw", "ceiling").alias("calibrated"), verdict.alias("verdict")).withColumn("calibrated", F.when(F.col("verdict") != "INVALID_PROFILE", F.col("calibrated")).otherwise(F.lit(0.0)))

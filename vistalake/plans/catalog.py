@@ -1,6 +1,6 @@
 """All registered queries of the engine proper."""
 
-from vistalake.plans import spatial  # noqa: F401
+from vistalake.plans import evidence, spatial  # noqa: F401
 from vistalake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
