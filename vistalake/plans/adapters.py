@@ -100,3 +100,8 @@ def events(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = ROWS_SQL.replace("from documents", "from {documents}").replace("join labels", "join {labels}")
     return spark.sql(text, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"), labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+#: Live frames: an event type is a source.
+LIVE_SQL = """
+select event_type as source, ts, event_id as frame_index, event_id % 29 as primitives, round(cast(event_id % 101 as double) / 100, 2) as confidence from events
+"""
