@@ -40,3 +40,27 @@ def temporal_verdict(frames: DataFrame, min_frames: int = law.MIN_FRAMES, window
     # without a flip the trailing run is the whole stream
     verdict = F.when(n < min_frames, "INSUFFICIENT").when(F.col("flipped"), "FLIPPED").when(F.col("drifting") | F.col("lost"), "DRIFTING").when(n >= window, "CONFIRMED").otherwise("CONSISTENT")
     return per.join(lost, "stream").select("stream", "n_frames", "flipped", "drifting", "lost", verdict.alias("verdict"))
+
+
+def assignment_timeline(steps: DataFrame) -> DataFrame:
+    """steps (program, step, target, value) with what each does: whether the target's value changes, how often it has changed so far, and
+    the number of targets set by then."""
+    mine = Window.partitionBy("program", "target").orderBy("step")
+    whole = Window.partitionBy("program").orderBy("step")
+    before = F.lag("value").over(mine)
+    marked = steps.withColumns({"changed": before.isNull() | (before != F.col("value")), "fresh": F.when(F.row_number().over(mine) == 1, 1).otherwise(0)})
+    return marked.select("program", "step", "target", "value", "changed", F.sum(F.col("changed").cast("int")).over(whole).alias("mutations"), F.sum("fresh").over(whole).alias("targets"))
+
+
+def state_machine(transitions: DataFrame) -> DataFrame:
+    """Per program (step, next_state or null when blocked): the last resolved state, else START, and how many steps were blocked."""
+    last = F.max_by("next_state", F.when(F.col("next_state").isNotNull(), F.col("step")))
+    return transitions.groupBy("program").agg(F.count("*").alias("steps"), F.coalesce(last, F.lit("START")).alias("state"), F.count_if(F.col("next_state").isNull()).alias("blocked"))
+
+
+def first_disagreement(captures: DataFrame) -> DataFrame:
+    """Per signal (capture index, payload): captures, the first index whose payload differs from the first capture's, or null, and whether all agree."""
+    order = Window.partitionBy("signal").orderBy("capture")
+    base = captures.withColumn("base", F.first("payload").over(order))
+    per = base.groupBy("signal").agg(F.count("*").alias("captures"), F.min(F.when(~F.col("payload").eqNullSafe(F.col("base")), F.col("capture"))).alias("first_difference"))
+    return per.withColumn("consistent", F.col("first_difference").isNull())

@@ -1,6 +1,6 @@
 """All registered queries of the engine proper."""
 
-from vistalake.plans import coherence, evidence, live, rules, spatial  # noqa: F401
+from vistalake.plans import coherence, evidence, live, rules, spatial, steps  # noqa: F401
 from vistalake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
