@@ -35,7 +35,7 @@ def confidence_distribution(records: DataFrame) -> DataFrame:
         (F.sum(F.when(c > 0.7, F.col("n")).otherwise(0)) / n).alias("high_share"),
         (F.sum(F.when(c < 0.3, F.col("n")).otherwise(0)) / n).alias("low_share"),
     )
-    return per.select("batch", "n", *[F.round(x, 6).alias(x) for x in ("mean", "std", "min", "max", "median", "high_share", "low_share")])
+    return per.select("batch", "n", *[F.round(x, 9).alias(x) for x in ("mean", "std", "min", "max", "median", "high_share", "low_share")])
 
 
 def count_patterns(records: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def batch_summary(records: DataFrame) -> DataFrame:
         F.round(F.avg("primitives"), 6).alias("mean_primitives"),
         F.min("primitives").alias("min_primitives"),
         F.max("primitives").alias("max_primitives"),
-        F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+        F.round(F.avg("confidence"), 9).alias("mean_confidence"),
     )
 
 

@@ -52,8 +52,8 @@ GAPS = """g as (select batch, count(*) as n, count(*) filter (where confidence i
 
 @query(
     "confidence_distribution",
-    f"""{RC} select batch, count(confidence) as n, round(avg(confidence), 6) as mean, round(stddev_pop(confidence), 6) as std, min(confidence) as min, max(confidence) as max, round(median(confidence), 6) as median,
-  round(avg(cast(confidence > 0.7 as int)), 6) as high_share, round(avg(cast(confidence < 0.3 as int)), 6) as low_share from r where confidence is not null group by 1""",
+    f"""{RC} select batch, count(confidence) as n, round(avg(confidence), 9) as mean, round(stddev_pop(confidence), 9) as std, min(confidence) as min, max(confidence) as max, round(median(confidence), 9) as median,
+  round(avg(cast(confidence > 0.7 as int)), 9) as high_share, round(avg(cast(confidence < 0.3 as int)), 9) as low_share from r where confidence is not null group by 1""",
 )
 def confidence_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.confidence_distribution(_records(spark, sf_dir))
@@ -92,7 +92,7 @@ def batch_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "batch_summary",
     f"""{RC} select batch, count(*) as n, min(ts) as first_ts, max(ts) as last_ts, cast(sum(primitives) as bigint) as total_primitives, round(avg(primitives), 6) as mean_primitives,
-  min(primitives) as min_primitives, max(primitives) as max_primitives, round(avg(confidence), 6) as mean_confidence from r group by 1""",
+  min(primitives) as min_primitives, max(primitives) as max_primitives, round(avg(confidence), 9) as mean_confidence from r group by 1""",
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.batch_summary(_records(spark, sf_dir))

@@ -24,7 +24,7 @@ def sample_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "live_report",
-    f"""{L} select source, epoch_us(ts) // 86400000000 as day, count(*) as frames, cast(sum(primitives) as bigint) as primitives, round(avg(confidence), 6) as mean_confidence, max(confidence) as max_confidence,
+    f"""{L} select source, epoch_us(ts) // 86400000000 as day, count(*) as frames, cast(sum(primitives) as bigint) as primitives, round(avg(confidence), 9) as mean_confidence, max(confidence) as max_confidence,
   count(*) filter (where confidence >= 0.6) as sure_frames, min(primitives) > 0 as never_empty from f group by 1, 2""",
 )
 def live_report(spark: SparkSession, sf_dir: str) -> DataFrame:

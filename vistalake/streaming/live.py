@@ -35,7 +35,7 @@ def live_report(frames: DataFrame, every: str = "1 day", delay: str = "1 hour")
         .agg(
             F.count("*").alias("frames"),
             F.sum("primitives").alias("primitives"),
-            F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+            F.round(F.avg("confidence"), 9).alias("mean_confidence"),
             F.max("confidence").alias("max_confidence"),
             F.count_if(F.col("confidence") >= 0.6).alias("sure_frames"),
             F.min(F.when(F.col("primitives") > 0, 1).otherwise(0)).alias("never_empty"),
