@@ -12,19 +12,23 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges for a task; a graph of few edges needs few tasks, however many partitions a shuffle has.
+TASK_EDGES = 50_000
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
     around = _both(edges)
     low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return around.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return around.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+    return moved.unionByName(low.select("u", F.col("m").alias("v")).coalesce(tasks)).filter("u <> v").distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,9 +43,10 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    before = None
+    before = state(now)
     while True:
-        now = written(_small_star(_large_star(now)))
+        tasks = before[0] // TASK_EDGES + 1
+        now = written(_small_star(_large_star(now, tasks), tasks))
         after = state(now)
         if after == before:
             break

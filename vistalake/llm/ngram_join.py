@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vistalake.llm import kernel
@@ -32,6 +32,8 @@ SHARE, LEAST = 2000, 8
 SHORT, PART, NEIGHBOURS = 16, 4096, 4
 #: Hashes counted together when frequent columns are sought.
 CHUNK = 2_000_000
+#: Buckets of a row's histogram; rows in a block when histograms meet; members of the main component that a row tries, and columns in which.
+BUCKETS, BLOCK, TRIES, COLUMNS = 512, 256, 8, 3
 WHOLE = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -136,17 +138,32 @@ def frequent_columns(docs: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarr
     return h[order], n[order]
 
 
+def histograms(h: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
+    """How many of a row's columns fall into each bucket, as bytes; None where a count is too large, or the row is empty."""
+    k = len(cuts) - 1
+    owner = np.repeat(np.arange(k), np.diff(cuts))
+    counts = np.bincount(owner * BUCKETS + (h >> np.uint64(64 - 9)).astype(np.int64), minlength=k * BUCKETS).reshape(k, BUCKETS)
+    fits = (counts.max(1) < 256) & (np.diff(cuts) > 0)
+    small = counts.astype(np.uint8)
+    return [small[i].tobytes() if fits[i] else None for i in range(k)]
+
+
+def may_link(n: np.ndarray, m: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """Whether rows of these sizes could link with that overlap."""
+    return 100 * overlap >= PERCENT * (n + m - overlap)
+
+
 def members(docs: DataFrame) -> DataFrame:
-    """id, n_shingles and the set's two digests, for every row of ``docs`` (id, text)."""
+    """id, n_shingles, the set's two digests and its histogram, for every row of ``docs`` (id, text)."""
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in kernel.slices(whole):
                 h, cuts = shingle_sets(b.column("text"))
                 a, c = set_digests(h, cuts)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(cuts), pa.int64()), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["id", "n_shingles", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(cuts), pa.int64()), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(histograms(h, cuts), pa.binary())], ["id", "n_shingles", "d1", "d2", "hist"])
 
-    return docs.select("id", "text").mapInArrow(size, "id long, n_shingles long, d1 long, d2 long")
+    return docs.select("id", "text").mapInArrow(size, "id long, n_shingles long, d1 long, d2 long, hist binary")
 
 
 def prefix_entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], blocks: int) -> DataFrame:
@@ -225,8 +242,9 @@ def _block(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
     return h, ids, n, np.repeat(starts + length, length), np.repeat(length, length)
 
 
-def first_pairs(entries: DataFrame) -> DataFrame:
-    """Rows that meet in a column, as p < q: all of a short column, neighbours in size of a long one."""
+def meetings(entries: DataFrame) -> DataFrame:
+    """Two kinds of rows. Pairs p < q (h null) that meet in a column: all of a short column, neighbours in size of a long one. And the
+    entries of long columns: h, the row p and its size q."""
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, ids, n, end, length = _block(batches)
@@ -238,44 +256,146 @@ def first_pairs(entries: DataFrame) -> DataFrame:
             out.append(np.stack([ids[i], ids[i + step]], 1))
         pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0)
         for k in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 100_000, 0].copy()), pa.array(pairs[k : k + 100_000, 1].copy())], ["p", "q"])
+            some = pairs[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], ["h", "p", "q"])
+        i = np.flatnonzero(length > SHORT)
+        for k in range(0, len(i), 100_000):
+            j = i[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(ids[j]), pa.array(n[j].astype(np.int64))], ["h", "p", "q"])
 
-    return entries.groupBy("block").applyInArrow(meet, "p long, q long").distinct()
+    return entries.groupBy("block").applyInArrow(meet, "h long, p long, q long")
 
 
-def long_columns(entries: DataFrame) -> DataFrame:
-    """column, id, n of entries in columns that first_pairs() doesn't exhaust."""
+def mixed_columns(long: DataFrame, merged: DataFrame) -> DataFrame:
+    """Entries (h, id, n) of long columns that hold several components (``merged``: id, component), with the entry's component c, the
+    column's largest one ``main``, and the entries ``k`` of the column and ``k_main`` of that one."""
+    placed = long.join(merged, "id", "left").withColumn("c", F.coalesce("component", "id")).select("h", "id", "n", "c")
+    sizes = placed.groupBy("h", "c").agg(F.count("*").alias("k"))
+    kinds = sizes.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"))
+    return placed.join(kinds.filter("kinds > 1").select("h", "k", F.col("top.c").alias("main"), F.col("top.k").alias("k_main")), "h")
 
-    def rest(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, ids, n, _, length = _block(batches)
-        i = np.flatnonzero(length > SHORT)
-        for k in range(0, len(i), 100_000):
-            j = i[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(ids[j]), pa.array(n[j].astype(np.int64))], ["h", "id", "n"])
 
-    return entries.groupBy("block").applyInArrow(rest, "h long, id long, n long")
+def tries(mixed: DataFrame) -> DataFrame:
+    """Pairs of rows outside a column's main component with about TRIES rows inside it, in COLUMNS of its columns."""
+    slots = F.ceil(F.col("k_main") / TRIES)
+    turn = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("h", "id")))
+    others = mixed.filter("c <> main").withColumn("turn", turn).filter(F.col("turn") <= COLUMNS).select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.pmod(F.xxhash64("id", "h"), slots).alias("slot"))
+    inside = mixed.filter("c = main").select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.pmod(F.xxhash64("id"), slots).alias("slot"))
+    near = 100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")
+    return others.join(inside, ["h", "slot"]).filter(near).select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
 
 
-def crossing_pairs(long: DataFrame, merged: DataFrame) -> DataFrame:
-    """Pairs of a long column whose rows lie in different components (``merged``: id, component) and whose sizes allow a link.
+def crossing_pairs(mixed: DataFrame, single: DataFrame) -> DataFrame:
+    """Pairs of a mixed column that lie in different components and that sizes and histograms allow to link.
 
-    The rows of a column's largest component don't meet each other, nor do others of one component.
+    A column's rows stand in blocks, packed with their histograms; the blocks of rows outside its main component
+    meet all of its blocks, and only pairs that may link leave a task, once.
     """
-    placed = long.join(merged, "id", "left").withColumn("c", F.coalesce("component", "id")).select("h", "id", "n", "c")
-    sizes = placed.groupBy("h", "c").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("h").agg(F.count("*").alias("kinds"), F.max_by("c", F.struct("k", "c")).alias("main")).filter("kinds > 1").select("h", "main")
-    placed = written(placed.join(mixed, "h"))
-    others = placed.filter("c <> main").select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    every = placed.select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-    near = (100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")) & (F.col("ac") != F.col("bc"))
-    return others.join(every, "h").filter(near).select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
+    hist = single.select("id", "hist").hint("merge")
+    rows = mixed.join(hist, "id", "left").select("h", "id", "n", "c", "hist", (F.col("c") == F.col("main")).alias("inside"), F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / BLOCK)).alias("at"))
+    packed = written(rows.groupBy("h", "at", "inside").agg(F.collect_list(F.struct("id", "n", "c", "hist")).alias("rows")))
+    left = packed.filter("not inside").select("h", F.col("rows").alias("s"))
+    right = packed.select("h", F.col("rows").alias("t"))
+
+    def unpack(x: pa.StructScalar | list) -> tuple:
+        flat = x.values
+        hist = flat.field("hist")
+        known = np.array([v is not None for v in hist.to_pylist()])
+        counts = np.frombuffer(b"".join(v or bytes(BUCKETS) for v in hist.to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        return (*(flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "n", "c")), counts, known)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            # rows that share many columns meet as often
+            pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["p", "q"])
+
+        for whole in batches:
+            for s, t in zip(whole.column("s"), whole.column("t"), strict=True):
+                a, an, ac, ah, ak = unpack(s)
+                b, bn, bc, bh, bk = unpack(t)
+                for i in range(len(a)):
+                    j = np.flatnonzero((bc != ac[i]) & (100 * np.minimum(an[i], bn) >= PERCENT * np.maximum(an[i], bn)))
+                    most = np.minimum(ah[i], bh[j]).sum(1, dtype=np.int64)
+                    j = j[may_link(an[i], bn[j], most) | ~(ak[i] & bk[j])]
+                    found.append(np.stack([np.full(len(j), a[i]), b[j]], 1))
+                    size += len(j)
+                if size > 1_000_000:
+                    yield from flush()
+                    size = 0
+        if found:
+            yield from flush()
+
+    return left.join(right, "h").select("s", "t").mapInArrow(meet, "p long, q long").distinct()
+
+
+def allowed(pairs: DataFrame, single: DataFrame) -> DataFrame:
+    """The pairs (p, q) that sizes and histograms (``single``: id, n_shingles, hist) allow to link; an id that is not there allows all."""
+    # both sides grow with the documents: neither is broadcast
+    single = single.hint("merge")
+    left = pairs.join(single.select(F.col("id").alias("p"), F.col("n_shingles").alias("pn"), F.col("hist").alias("ph")), "p", "left")
+    both = left.join(single.select(F.col("id").alias("q"), F.col("n_shingles").alias("qn"), F.col("hist").alias("qh")), "q", "left")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column("ph").to_pylist(), b.column("qh").to_pylist()
+            known = np.array([u is not None and v is not None for u, v in zip(x, y, strict=True)], bool)
+            x, y = (np.frombuffer(b"".join(v or bytes(BUCKETS) for v in z), np.uint8).reshape(-1, BUCKETS) for z in (x, y))
+            n, m = (b.column(c).fill_null(0).to_numpy() for c in ("pn", "qn"))
+            ok = may_link(n, m, np.minimum(x, y).sum(1, dtype=np.int64)) | ~known
+            yield b.select(["p", "q"]).filter(pa.array(ok))
+
+    return both.select("p", "q", "pn", "qn", "ph", "qh").mapInArrow(check, "p long, q long")
+
+
+def bloom(ids: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
+    """A Bloom filter of ids, of at most 8 MB: it spares most other texts the way to a join, and past its size it only spares fewer."""
+    bits = min(most_bits, 1 << max(12, (12 * ids.count()).bit_length()))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(bits // 64, np.uint64)
+        for b in batches:
+            for at in places(b.column("id").to_numpy(), bits):
+                np.bitwise_or.at(got, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        i = np.flatnonzero(got)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(got[i].view(np.int64))], ["at", "word"])
+
+    out = np.zeros(bits // 64, np.int64)
+    for r in ids.mapInArrow(words, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toLocalIterator():
+        out[r.at] = r.word
+    return out.view(np.uint64)
+
+
+def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = kernel.mixed(ids.astype(np.int64).view(np.uint64))
+    return [(h >> np.uint64(s)) % np.uint64(bits) for s in (0, 21, 37)]
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the rows of ``docs`` whose id is in ``ids``."""
+    given = docs.sparkSession.sparkContext.broadcast(bloom(ids))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = given.value
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for at in places(b.column("id").to_numpy(), 64 * len(words)):
+                ok &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            yield b.filter(pa.array(ok))
+
+    return docs.select("id", "text").mapInArrow(likely, "id long, text string").join(ids.hint("merge"), "id", "left_semi")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (p, q) whose whole texts link, as edges (u, v)."""
     pairs = written(pairs)
     ids = pairs.select(F.col("p").alias("id")).unionByName(pairs.select(F.col("q").alias("id"))).distinct()
-    texts = written(docs.join(ids, "id", "left_semi").select("id", "text"))
+    texts = written(texts_of(docs, written(ids)))
+    texts = texts.hint("merge")
     left = pairs.join(texts.select(F.col("id").alias("p"), F.col("text").alias("s")), "p")
     both = left.join(texts.select(F.col("id").alias("q"), F.col("text").alias("t")), "q").select("p", "q", "s", "t")
 
@@ -316,18 +436,28 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     head_of = written(copies.filter("u <> v").groupBy("u").agg(F.min("v").alias("v")))
 
     def by_head(pairs: DataFrame) -> DataFrame:
+        # a pair that meets in many blocks is one
+        pairs = pairs.distinct()
         for c in ("p", "q"):
-            pairs = pairs.join(head_of.select(F.col("u").alias(c), F.col("v").alias("h")), c, "left").withColumn(c, F.coalesce("h", c)).drop("h")
+            pairs = pairs.join(head_of.select(F.col("u").alias(c), F.col("v").alias("h")).hint("merge"), c, "left").withColumn(c, F.coalesce("h", c)).drop("h")
         return pairs.filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
 
-    pairs = written(by_head(first_pairs(entries)))
-    links = verified(pairs, named)
-    edges = copies.unionByName(links)
+    # ids that stand for several texts have no histogram: their pairs go to the texts
+    repeated = written(sized.groupBy("id").count().filter("count > 1").select("id"))
+    single = sized.filter("id is not null").join(repeated, "id", "left_anti").select("id", "n_shingles", "hist")
+    met = written(meetings(entries))
+    pairs = written(allowed(by_head(met.filter("h is null").select("p", "q")), single))
+    long = met.filter("h is not null").select("h", F.col("p").alias("id"), F.col("q").alias("n"))
+    long = written(long.join(head_of.withColumnsRenamed({"u": "id"}), "id", "left").select("h", F.coalesce("v", "id").alias("id"), "n").distinct())
+    edges = written(copies.unionByName(verified(pairs, named)))
     merged = written(components(edges))
-    more = by_head(crossing_pairs(long_columns(entries), merged)).join(pairs, ["p", "q"], "left_anti")
-    late = verified(more, named)
-    if not late.isEmpty():
-        merged = components(edges.unionByName(late))
+    for more in (lambda: allowed(tries(mixed_columns(long, merged)), single), lambda: crossing_pairs(mixed_columns(long, merged), single)):
+        new = written(more().join(pairs.hint("merge"), ["p", "q"], "left_anti"))
+        links = verified(new, named)
+        if not links.isEmpty():
+            edges = written(edges.unionByName(links))
+            merged = written(components(edges))
+        pairs = pairs.unionByName(new)
     return sized.join(merged, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
