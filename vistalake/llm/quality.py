@@ -38,7 +38,8 @@ N_FEATURES = N_KINDS + 5
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)) == 0
+    """Whether an id belongs to the fold that labels are not learnt from; a null id does not."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
