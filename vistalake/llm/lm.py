@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 
 from vistalake.llm import kernel
 from vistalake.llm.common import query, table, text_or_empty, written
-from vistalake.llm.wordwise import word_encoder
+from vistalake.llm.wordwise import forget, word_encoder
 
 FOLDS, HELD = 7, 2
-WIDTH, HIDDEN = 16, 16
-CONTEXT, SCORED = 16, 32
+WIDTH, HIDDEN = 8, 8
+CONTEXT, SCORED = 8, 24
 #: Classes of one id, classes of many, ids with an input row of their own, and rows that the others share.
-SINGLE, SHARED, OWN_ROWS, SHARED_ROWS = 64, 32, 3072, 1024
+SINGLE, SHARED, OWN_ROWS, SHARED_ROWS = 48, 16, 3072, 1024
 #: Training: one of EVERY texts in each of ROUNDS rounds, chosen by hash.
-ROUNDS, EVERY, STEP, WINDOWS, SEED = 2, 48, 0.02, 24, 5
+ROUNDS, EVERY, STEP, WINDOWS, SEED = 2, 64, 0.02, 32, 5
+#: Windows scored in one go.
+TOGETHER = 64
 #: A word is frequent from this share of all bytes on: at most BYTES_SHARE / 2 words are.
 BYTES_SHARE = 6_000_000
 END_WORD = np.uint64(0x1F83D9ABFB41BD6B)
@@ -216,6 +218,7 @@ def id_counts(ids: DataFrame, size: int) -> np.ndarray:
     """Counts of all ids over all training texts; the rows that reach the driver are at most the vocabulary's size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(size, np.int64)
         for b in batches:
             for x in b.column("ids"):
@@ -238,6 +241,7 @@ def trained(ids: DataFrame, classes: Classes, start: int, end: int) -> Attention
         given = spark.sparkContext.broadcast((classes, model.packed()))
 
         def learn(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            forget()
             classes, flat = given.value
             mine = Attention(classes.log_prior).unpack(flat)
             # of a repeated id the counted share holds; the end has a count of its own
@@ -277,6 +281,7 @@ def scored(ids: DataFrame, classes: Classes, model: Attention, start: int, end:
     given = ids.sparkSession.sparkContext.broadcast((classes, model.packed()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         classes, flat = given.value
         model = Attention(classes.log_prior).unpack(flat)
         for b in batches:
@@ -284,8 +289,8 @@ def scored(ids: DataFrame, classes: Classes, model: Attention, start: int, end:
             texts = [np.frombuffer(x.as_py(), np.uint16) for x in b.column("ids")]
             for at in range(0, len(texts), 64):
                 inputs, target, weight, owner = windows(texts[at : at + 64], start, end)
-                for j in range(0, len(inputs), WINDOWS):
-                    s = slice(j, j + WINDOWS)
+                for j in range(0, len(inputs), TOGETHER):
+                    s = slice(j, j + TOGETHER)
                     value = model.log_probability(classes.row[inputs[s]], classes.of[target[s]]) + classes.log_share[target[s]]
                     np.add.at(out, at + owner[s], (value * weight[s]).sum(1))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held"), pa.array(out / LOG10)], ["row", "doc_id", "held", "score"])
@@ -313,6 +318,7 @@ def word_counts(docs: DataFrame, blocks: int, least: int) -> tuple[int, int, np.
     """N, V, and the hashes (ascending) and counts of training words that occur at least ``least`` times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -324,7 +330,7 @@ def word_counts(docs: DataFrame, blocks: int, least: int) -> tuple[int, int, np.
         for whole in batches:
             for b in kernel.slices(whole):
                 held.append(_words(b)[0])
-                if sum(map(len, held)) > 4_000_000:
+                if sum(map(len, held)) > 2_000_000:
                     yield from flush()
         if held:
             yield from flush()
@@ -351,10 +357,11 @@ def base_sums(docs: DataFrame, blocks: int, known: np.ndarray, counts: np.ndarra
     given = docs.sparkSession.sparkContext.broadcast((known, counts))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known, counts = given.value
         logs = np.log10(counts + 1.0)
         for whole in batches:
-            for b in kernel.slices(whole, most=8 << 20):
+            for b in kernel.slices(whole, most=4 << 20):
                 h, doc = _words(b)
                 row, held, k = b.column("row").to_numpy(), b.column("held").to_numpy(zero_copy_only=False), b.num_rows
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))

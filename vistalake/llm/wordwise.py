@@ -139,3 +139,9 @@ def piece_counter(path: str) -> PieceCounter:
 def word_encoder(path: str) -> WordEncoder:
     """One for each worker process, with what it has learnt."""
     return WordEncoder(path)
+
+
+def forget() -> None:
+    """Frees what a worker process has learnt, before work that needs its memory and no tokenizer."""
+    piece_counter.cache_clear()
+    word_encoder.cache_clear()
