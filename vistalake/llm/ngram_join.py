@@ -184,15 +184,15 @@ def prefix_entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], blo
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            h, part, ids, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, part, ids, n, cap = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             block = (kernel.mixed(h + part.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.searchsorted(block[order], np.arange(blocks + 1))
             some = [b for b in range(blocks) if cuts[b] < cuts[b + 1]]
             parts = [order[cuts[b] : cuts[b + 1]] for b in some]
-            columns = [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (h, part, ids, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *columns], ["block", "h", "part", "ids", "n"])
+            columns = [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (h, part, ids, n, cap)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *columns], ["block", "h", "part", "ids", "n", "cap"])
 
         for whole in batches:
             for b in kernel.slices(whole):
@@ -214,62 +214,67 @@ def prefix_entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], blo
                 ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)[who]
                 parts = np.ones(len(e), np.int64)
                 parts[hot[e]] = -(-counts[at[e][hot[e]]] // PART)
-                part = (kernel.mixed(ids.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
-                held.append((h[e], part, ids, n[who].astype(np.int32)))
+                part = np.where(parts > 1, 1 + (kernel.mixed(ids.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), 0).astype(np.int32)
+                # all columns that two rows share lie at or behind the first: so many are left, and a larger partner can't link
+                size = n[who]
+                cap = ((100 + PERCENT) * (size - place[take]) - PERCENT * size) // PERCENT
+                held.append((h[e], part, ids, size.astype(np.int32), cap.astype(np.int32)))
                 if sum(len(x[0]) for x in held) > 500_000:
                     yield from flush()
         yield from flush()
 
-    return docs.select("id", "text").mapInArrow(emit, "block int, h binary, part binary, ids binary, n binary")
+    return docs.select("id", "text").mapInArrow(emit, "block int, h binary, part binary, ids binary, n binary, cap binary")
 
 
 def _block(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    """A block's entries in order of column, part, row size and row, each once, and the lengths of the columns' parts."""
-    kinds = (("h", np.uint64), ("part", np.int32), ("ids", np.int64), ("n", np.int32))
+    """A block's entries in order of column, part, row size and row, each once; the end of its part, and whether the part is a whole short column."""
+    kinds = (("h", np.uint64), ("part", np.int32), ("ids", np.int64), ("n", np.int32), ("cap", np.int32))
     got: list[list[np.ndarray]] = [[np.zeros(0, t)] for _, t in kinds]
     for b in batches:
         for (k, t), out in zip(kinds, got, strict=True):
             out += [np.frombuffer(x, t) for x in b.column(k).to_pylist()]
-    h, part, ids, n = (np.concatenate(x) for x in got)
+    h, part, ids, n, cap = (np.concatenate(x) for x in got)
     key = kernel.mixed(h + part.astype(np.uint64))
     order = np.lexsort((ids, n, key))
-    key, h, ids, n = key[order], h[order], ids[order], n[order]
+    key, h, part, ids, n, cap = (x[order] for x in (key, h, part, ids, n, cap))
     keep = np.ones(len(h), bool)
     keep[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-    key, h, ids, n = key[keep], h[keep], ids[keep], n[keep]
+    key, h, part, ids, n, cap = (x[keep] for x in (key, h, part, ids, n, cap))
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     length = np.diff(np.append(starts, len(key)))
-    return h, ids, n, np.repeat(starts + length, length), np.repeat(length, length)
+    length = np.repeat(length, length)
+    # a part of a column that was cut is not the whole, however short
+    return h, ids, n.astype(np.int64), cap.astype(np.int64), starts.repeat(np.diff(np.append(starts, len(key)))) + length, (length <= SHORT) & (part == 0)
 
 
 def meetings(entries: DataFrame) -> DataFrame:
     """Two kinds of rows. Pairs p < q (h null) that meet in a column: all of a short column, neighbours in size of a long one. And the
-    entries of long columns: h, the row p and its size q."""
+    entries of long columns: h, the row p, its size q and the largest size that a partner there can have."""
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, ids, n, end, length = _block(batches)
+        h, ids, n, cap, end, short = _block(batches)
         at = np.arange(len(h))
         out = []
         for step in range(1, SHORT):
-            i = at[(at + step < end) & ((length <= SHORT) | (step <= NEIGHBOURS))]
-            i = i[100 * n[i].astype(np.int64) >= PERCENT * n[i + step].astype(np.int64)]
+            i = at[(at + step < end) & (short | (step <= NEIGHBOURS))]
+            i = i[(100 * n[i] >= PERCENT * n[i + step]) & (n[i + step] <= cap[i]) & (n[i] <= cap[i + step])]
             out.append(np.stack([ids[i], ids[i + step]], 1))
         pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0)
         for k in range(0, len(pairs), 100_000):
             some = pairs[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], ["h", "p", "q"])
-        i = np.flatnonzero(length > SHORT)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy()), pa.nulls(len(some), pa.int64())], ["h", "p", "q", "cap"])
+        i = np.flatnonzero(~short)
         for k in range(0, len(i), 100_000):
             j = i[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(ids[j]), pa.array(n[j].astype(np.int64))], ["h", "p", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(ids[j]), pa.array(n[j]), pa.array(cap[j])], ["h", "p", "q", "cap"])
 
-    return entries.groupBy("block").applyInArrow(meet, "h long, p long, q long")
+    return entries.groupBy("block").applyInArrow(meet, "h long, p long, q long, cap long")
 
 
 def mixed_columns(long: DataFrame, merged: DataFrame) -> DataFrame:
     """Entries (h, id, n) of long columns that hold several components (``merged``: id, component), with the entry's component c, the
     column's largest one ``main``, and the entries ``k`` of the column and ``k_main`` of that one."""
-    placed = long.join(merged, "id", "left").withColumn("c", F.coalesce("component", "id")).select("h", "id", "n", "c")
+    placed = long.join(merged, "id", "left").withColumn("c", F.coalesce("component", "id")).select("h", "id", "n", "cap", "c")
     sizes = placed.groupBy("h", "c").agg(F.count("*").alias("k"))
     kinds = sizes.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"))
     return placed.join(kinds.filter("kinds > 1").select("h", "k", F.col("top.c").alias("main"), F.col("top.k").alias("k_main")), "h")
@@ -279,9 +284,9 @@ def tries(mixed: DataFrame) -> DataFrame:
     """Pairs of rows outside a column's main component with about TRIES rows inside it, in COLUMNS of its columns."""
     slots = F.ceil(F.col("k_main") / TRIES)
     turn = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("h", "id")))
-    others = mixed.filter("c <> main").withColumn("turn", turn).filter(F.col("turn") <= COLUMNS).select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.pmod(F.xxhash64("id", "h"), slots).alias("slot"))
-    inside = mixed.filter("c = main").select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.pmod(F.xxhash64("id"), slots).alias("slot"))
-    near = 100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")
+    others = mixed.filter("c <> main").withColumn("turn", turn).filter(F.col("turn") <= COLUMNS).select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("cap").alias("acap"), F.pmod(F.xxhash64("id", "h"), slots).alias("slot"))
+    inside = mixed.filter("c = main").select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("cap").alias("bcap"), F.pmod(F.xxhash64("id"), slots).alias("slot"))
+    near = (100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")) & (F.col("an") <= F.col("bcap")) & (F.col("bn") <= F.col("acap"))
     return others.join(inside, ["h", "slot"]).filter(near).select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
 
 
@@ -292,8 +297,8 @@ def crossing_pairs(mixed: DataFrame, single: DataFrame) -> DataFrame:
     meet all of its blocks, and only pairs that may link leave a task, once.
     """
     hist = single.select("id", "hist").hint("merge")
-    rows = mixed.join(hist, "id", "left").select("h", "id", "n", "c", "hist", (F.col("c") == F.col("main")).alias("inside"), F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / BLOCK)).alias("at"))
-    packed = written(rows.groupBy("h", "at", "inside").agg(F.collect_list(F.struct("id", "n", "c", "hist")).alias("rows")))
+    rows = mixed.join(hist, "id", "left").select("h", "id", "n", "cap", "c", "hist", (F.col("c") == F.col("main")).alias("inside"), F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / BLOCK)).alias("at"))
+    packed = written(rows.groupBy("h", "at", "inside").agg(F.collect_list(F.struct("id", "n", "cap", "c", "hist")).alias("rows")))
     left = packed.filter("not inside").select("h", F.col("rows").alias("s"))
     right = packed.select("h", F.col("rows").alias("t"))
 
@@ -302,7 +307,7 @@ def crossing_pairs(mixed: DataFrame, single: DataFrame) -> DataFrame:
         hist = flat.field("hist")
         known = np.array([v is not None for v in hist.to_pylist()])
         counts = np.frombuffer(b"".join(v or bytes(BUCKETS) for v in hist.to_pylist()), np.uint8).reshape(-1, BUCKETS)
-        return (*(flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "n", "c")), counts, known)
+        return (*(flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "n", "cap", "c")), counts, known)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -316,10 +321,10 @@ def crossing_pairs(mixed: DataFrame, single: DataFrame) -> DataFrame:
 
         for whole in batches:
             for s, t in zip(whole.column("s"), whole.column("t"), strict=True):
-                a, an, ac, ah, ak = unpack(s)
-                b, bn, bc, bh, bk = unpack(t)
+                a, an, acap, ac, ah, ak = unpack(s)
+                b, bn, bcap, bc, bh, bk = unpack(t)
                 for i in range(len(a)):
-                    j = np.flatnonzero((bc != ac[i]) & (100 * np.minimum(an[i], bn) >= PERCENT * np.maximum(an[i], bn)))
+                    j = np.flatnonzero((bc != ac[i]) & (an[i] <= bcap) & (bn <= acap[i]) & (100 * np.minimum(an[i], bn) >= PERCENT * np.maximum(an[i], bn)))
                     most = np.minimum(ah[i], bh[j]).sum(1, dtype=np.int64)
                     j = j[may_link(an[i], bn[j], most) | ~(ak[i] & bk[j])]
                     found.append(np.stack([np.full(len(j), a[i]), b[j]], 1))
@@ -447,8 +452,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     single = sized.filter("id is not null").join(repeated, "id", "left_anti").select("id", "n_shingles", "hist")
     met = written(meetings(entries))
     pairs = written(allowed(by_head(met.filter("h is null").select("p", "q")), single))
-    long = met.filter("h is not null").select("h", F.col("p").alias("id"), F.col("q").alias("n"))
-    long = written(long.join(head_of.withColumnsRenamed({"u": "id"}), "id", "left").select("h", F.coalesce("v", "id").alias("id"), "n").distinct())
+    long = met.filter("h is not null").select("h", F.col("p").alias("id"), F.col("q").alias("n"), "cap")
+    long = written(long.join(head_of.withColumnsRenamed({"u": "id"}), "id", "left").select("h", F.coalesce("v", "id").alias("id"), "n", "cap").distinct())
     edges = written(copies.unionByName(verified(pairs, named)))
     merged = written(components(edges))
     for more in (lambda: allowed(tries(mixed_columns(long, merged)), single), lambda: crossing_pairs(mixed_columns(long, merged), single)):
