@@ -102,3 +102,11 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges + edges[:9], "u long, v long")).collect()}
     want = {i: find(i) for a, b in edges for i in (a, b) if a != b}
     assert got == want
+
+
+def test_cut_columns(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART", 8)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(300)}" for _ in range(50)]
+    texts = near_copies(rng, base, 70, 2) + [" ".join(rng.choices(base, k=30)) for _ in range(20)]
+    same(spark, [(i * 3, t) for i, t in enumerate(texts)])
