@@ -80,3 +80,15 @@ def test_edges(spark):
     got = lm.score(docs, PATH).collect()
     check(got, rows)
     assert lm.score(docs.limit(0), PATH).count() == 0
+
+
+def test_every_training_text_is_learnt_from(spark):
+    texts = [(i, i, i % 10 == 3, np.full(40, 100 + i, np.uint16).tobytes()) for i in range(60)]
+    ids = spark.createDataFrame(texts, "row long, doc_id long, held boolean, ids binary").repartition(3)
+    counts = np.zeros(1000)
+    counts[100:160] = 40
+    classes = lm.Classes(counts, np.arange(1000) % 2 == 0)
+    first, last = lm.Attention(classes.log_prior), lm.trained(ids, classes, 900, 901)
+    for i, _, held, _ in texts:
+        row = classes.row[100 + i]
+        assert np.array_equal(first.p["e"][row], last.p["e"][row]) == held, i

@@ -2,8 +2,9 @@
 
 The model reads subword ids (public vocabulary) and predicts the class of the next one; a class holds one frequent id or
 many rare ones, and the ids of a class share its probability by their counts over all training texts. Its
-weights are learnt in numpy inside Spark tasks: each task goes over its share of the training texts from
-common weights, and the weights are averaged over the tasks, by the tokens that each has seen. Texts are scored in
+weights are learnt in numpy inside Spark tasks: in each round a task goes over its part of the round's share of the training texts
+from common weights, and the weights are averaged over the tasks, by the tokens that each has seen. The shares of the
+rounds are disjoint and together hold every training text. Texts are scored in
 windows that overlap: each window gives CONTEXT ids to look back on and scores the next SCORED ids, so each id is scored once.
 
 The base counts words over all training texts. Frequent words, of which there is a bounded number, are looked up in
@@ -28,8 +29,8 @@ WIDTH, HIDDEN = 8, 8
 CONTEXT, SCORED = 8, 24
 #: Classes of one id, classes of many, ids with an input row of their own, and rows that the others share.
 SINGLE, SHARED, OWN_ROWS, SHARED_ROWS = 48, 16, 3072, 1024
-#: Training: one of EVERY texts in each of ROUNDS rounds, chosen by hash.
-ROUNDS, EVERY, STEP, WINDOWS, SEED = 2, 64, 0.02, 32, 5
+#: Training: one of ROUNDS texts in each of ROUNDS rounds, chosen by hash, so that each text is seen once.
+ROUNDS, STEP, WINDOWS, SEED = 2, 0.02, 32, 5
 #: Windows scored in one go.
 TOGETHER = 64
 #: A word is frequent from this share of all bytes on: at most BYTES_SHARE / 2 words are.
@@ -147,11 +148,10 @@ class Attention:
         dx = dk @ p["k"].T + dv @ p["v"].T
         dx[:, CONTEXT - 1 :] += dh + dq @ p["q"].T
         g["s"] = dx.sum(0)
-        at, inverse = np.unique(rows, return_inverse=True)
-        de = np.zeros((len(at), WIDTH), dx.dtype)
-        np.add.at(de, inverse.ravel(), flat(dx))
+        order = np.argsort(rows, axis=None, kind="stable")
+        at, first = np.unique(rows.ravel()[order], return_index=True)
         g["e"] = np.zeros_like(p["e"])
-        g["e"][at] = de
+        g["e"][at] = np.add.reduceat(flat(dx)[order], first)
         return g, loss
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> int:
@@ -234,7 +234,7 @@ def id_counts(ids: DataFrame, size: int) -> np.ndarray:
 
 
 def trained(ids: DataFrame, classes: Classes, start: int, end: int) -> Attention:
-    """Weights after ROUNDS rounds over hashed shares of all training texts."""
+    """Weights after ROUNDS rounds over disjoint hashed shares that together hold every training text."""
     spark = ids.sparkSession
     model = Attention(classes.log_prior)
     for k in range(ROUNDS):
@@ -269,7 +269,7 @@ def trained(ids: DataFrame, classes: Classes, start: int, end: int) -> Attention
                     total += seen
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(out / total).astype(np.float32).tobytes()], pa.binary())], ["part", "w"])
 
-        share = ids.filter("not held").filter(F.pmod(F.xxhash64("row"), F.lit(EVERY)) == k).select("ids")
+        share = ids.filter("not held").filter(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == k).select("ids")
         rows = share.mapInArrow(learn, "part int, seen long, w binary").groupBy("part").applyInArrow(average, "part int, w binary").collect()
         if rows:
             model.unpack(np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(rows, key=lambda r: r.part)]))
