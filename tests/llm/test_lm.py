@@ -92,3 +92,15 @@ def test_every_training_text_is_learnt_from(spark):
     for i, _, held, _ in texts:
         row = classes.row[100 + i]
         assert np.array_equal(first.p["e"][row], last.p["e"][row]) == held, i
+
+
+def test_sizes_of_the_model():
+    text = np.arange(1, 4801)
+    inputs, _, weight, _ = lm.windows([text], 9000, 9001)
+    seen = np.cumsum(inputs != 9000, 1)[:, lm.CONTEXT - 1 :]
+    assert seen[weight > 0].mean() > 30
+    counts = np.arange(1000, 0, -1)
+    classes = lm.Classes(counts, np.arange(1000) % 2 == 0)
+    assert (np.bincount(classes.of)[:64] == 1).all() and len(np.unique(classes.of)) == 96
+    m = lm.Attention(classes.log_prior)
+    assert m.p["q"].shape == (16, 16) and m.p["a"].shape == (16, 16)

@@ -25,10 +25,10 @@ from vistalake.llm.common import query, table, text_or_empty, written
 from vistalake.llm.wordwise import forget, word_encoder
 
 FOLDS, HELD = 7, 2
-WIDTH, HIDDEN = 8, 8
-CONTEXT, SCORED = 8, 24
+WIDTH, HIDDEN = 16, 16
+CONTEXT, SCORED = 8, 48
 #: Classes of one id, classes of many, ids with an input row of their own, and rows that the others share.
-SINGLE, SHARED, OWN_ROWS, SHARED_ROWS = 48, 16, 3072, 1024
+SINGLE, SHARED, OWN_ROWS, SHARED_ROWS = 64, 32, 3072, 1024
 #: Training: one of ROUNDS texts in each of ROUNDS rounds, chosen by hash, so that each text is seen once.
 ROUNDS, STEP, WINDOWS, SEED = 2, 0.02, 32, 5
 #: Windows scored in one go.
