@@ -1,3 +1,5 @@
+import zlib
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -61,3 +63,12 @@ def test_edges(spark):
     assert quality.train(none, labels) is None
     assert quality.score(none, model).count() == 0
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
+
+
+def test_training_sees_every_passage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, bags, labels: seen.extend(map(len, bags)))
+    ids = [i for i in range(1, 9) if zlib.crc32(str(i).encode()) % 5][:2]
+    docs = spark.createDataFrame([(ids[0], "word " * (64 * 300)), (ids[1], "short text")], "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int"))
+    assert sorted(seen) == [1, 300]

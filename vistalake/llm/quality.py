@@ -20,8 +20,8 @@ from vistalake.llm import kernel
 from vistalake.llm.common import query, table
 
 PASSAGE = 64
-#: Bounds of the training sample: labelled documents, and passages of each (evenly spaced).
-MAX_TRAIN, MAX_PASSAGES = 4000, 64
+#: Bound of the training sample: labelled documents, each with all its passages.
+MAX_TRAIN = 4000
 HIDDEN, GATE, EPOCHS, BATCH, STEP, SEED = 16, 8, 30, 64, 0.01, 11
 THRESHOLD = 0.3
 FOLDS = 5
@@ -153,8 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 x, owner = features(b.column("text"))
                 out = []
                 for i in range(b.num_rows):
-                    bag = x[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
-                    out.append(bag[np.unique(np.linspace(0, len(bag) - 1, MAX_PASSAGES).astype(int))].tobytes())
+                    out.append(x[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")].tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(out, pa.binary())], ["y", "bag"])
 
     # the sample is bounded, so that it may be broadcast
