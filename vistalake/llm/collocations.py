@@ -25,10 +25,10 @@ from vistalake.llm.ngram_join import bloom, places
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: One document in SAMPLE proposes phrases that occur PROPOSE times in it; at LEAST * SAMPLE_SHARE of the share that one would expect.
-SAMPLE, SAMPLE_SHARE = 6, 0.3
+SAMPLE, SAMPLE_SHARE = 8, 0.3
 #: Bits of a filter at most, phrases held in a task before they are sent on, and phrases for a part of the merge.
-FILTER_BITS, HELD, PART = 1 << 31, 2_000_000, 1_000_000
-SLICE = 4 << 20
+FILTER_BITS, HELD, PART = 1 << 31, 1_500_000, 1_000_000
+SLICE = 2 << 20
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -44,6 +44,28 @@ def lanes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words), np.uint64).reshape(-1, 2)
 
 
+class Known:
+    """The hashes of words that a worker process has met, by a hash of its own; a slot holds one word, the last that fell on it."""
+
+    def __init__(self, bits: int = 19):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.key, self.lanes = np.zeros(1 << bits, np.uint64), np.zeros((1 << bits, 2), np.uint64)
+
+    def lanes_of(self, h: np.ndarray, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = (h & self.mask).astype(np.int64)
+        one, two = self.lanes[slot, 0], self.lanes[slot, 1]
+        new = np.flatnonzero((self.key[slot] != h) | (h == 0))
+        if len(new):
+            _, at, which = np.unique(h[new], return_index=True, return_inverse=True)
+            found = lanes([data[a:b].tobytes() for a, b in zip(first[new[at]].tolist(), end[new[at]].tolist(), strict=True)])
+            one[new], two[new] = found[which, 0], found[which, 1]
+            self.key[slot[new[at]]], self.lanes[slot[new[at]]] = h[new[at]], found
+        return one, two
+
+
+KNOWN = Known()
+
+
 class Tokens:
     """The words of a slice of documents (text, lang), in order."""
 
@@ -58,7 +80,7 @@ class Tokens:
         self.first = np.flatnonzero(ink & (~before | edge[:-1]))
         self.end = np.flatnonzero(ink & (~after | edge[1:])) + 1
         doc = np.searchsorted(offsets, self.first, "right") - 1
-        piece = np.cumsum(BREAK[data], dtype=np.int64)[self.first] if len(data) else np.zeros(0, np.int64)
+        piece = np.cumsum(BREAK[data], dtype=np.int32)[self.first] if len(data) else np.zeros(0, np.int64)
         #: Whether the next word follows in the same piece.
         self.follows = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1])
         langs = batch.column("lang").fill_null("und").dictionary_encode()
@@ -68,10 +90,7 @@ class Tokens:
         long = np.flatnonzero(self.end - self.first > 512)
         if len(long):
             h[long] = lanes([self.word(i) for i in long])[:, 0]
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        own = lanes([raw[a:b] for a, b in zip(self.first[at].tolist(), self.end[at].tolist(), strict=True)])
-        self.one, self.two = own[which, 0], own[which, 1]
+        self.one, self.two = KNOWN.lanes_of(h, data, self.first, self.end)
         self.of_lang = lanes([n.encode() for n in self.names])
 
     def word(self, i: int) -> bytes:
@@ -87,33 +106,44 @@ class Tokens:
             h = kernel.mixed(h * SECOND + self.two[at + k])
         return (h >> np.uint64(32)).astype(np.uint32)
 
-    def countable(self, proposed: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For n = 1, 2, ... the positions of phrases of n words whose two parts of n - 1 words are proposed, and their keys."""
+    def countable(self, passes: list[dict[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For n = 1, 2, ... the positions of phrases of n words whose two parts of n - 1 words are proposed in the last of ``passes`` and that no earlier pass counted, and
+        their keys. From the second pass on, what a pass counts anew is proposed at once, so that it closes over the failures that it starts from."""
         total = len(self.first)
-        at = np.arange(total)
-        key = kernel.mixed(self.of_lang[self.lang, 0] * FIRST + self.one) if total else np.zeros(0, np.uint64)
-        yield 1, at, key
+        start = kernel.mixed(self.of_lang[self.lang, 0] * FIRST + self.one) if total else np.zeros(0, np.uint64)
+        before: dict[int, np.ndarray] = {}
         keys, member = np.zeros(total, np.uint64), np.zeros(total + 1, bool)
-        for n in range(2, LONGEST + 1):
-            if n - 1 not in proposed:
-                return
-            member[:] = False
-            member[at[contains(proposed[n - 1], key)]] = True
-            keys[at] = key
-            at = np.flatnonzero(member[:-1] & member[1:])
-            if n == 2:
-                at = at[self.follows[at]]
-            key = kernel.mixed(keys[at] * FIRST + self.one[at + n - 1])
-            yield n, at, key
+        for i, proposed in enumerate(passes):
+            at, key, last = np.arange(total), start, i == len(passes) - 1
+            for n in range(1, LONGEST + 1):
+                fresh = ~before[n][at] if n in before else np.ones(len(at), bool)
+                if last:
+                    yield n, at[fresh], key[fresh]
+                else:
+                    before.setdefault(n, np.zeros(total, bool))[at] = True
+                if n not in proposed or n == LONGEST:
+                    break
+                # a later filter does not hold what an earlier one held by chance
+                ok = np.any([contains(p[n], key) for p in passes[: i + 1]], 0)
+                if i and n > 1:
+                    ok |= fresh
+                member[:] = False
+                member[at[ok]] = True
+                keys[at] = key
+                at = np.flatnonzero(member[:-1] & member[1:])
+                if n == 1:
+                    at = at[self.follows[at]]
+                key = kernel.mixed(keys[at] * FIRST + self.one[at + n])
 
 
 def contains(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether a Bloom filter may hold the keys. The first place alone settles most that it doesn't."""
-    ok = np.ones(len(keys), bool)
-    some = np.arange(len(keys))
-    for p in range(3):
-        at = places(keys[some], 64 * len(words))[p]
-        some = some[(words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0]
+    hit = lambda at: (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    first, *others = places(keys, 64 * len(words))
+    ok = hit(first)
+    some = np.flatnonzero(ok)
+    for at in others:
+        some = some[hit(at[some])]
     ok[:] = False
     ok[some] = True
     return ok
@@ -154,16 +184,9 @@ def counted(docs: DataFrame, passes: list[dict[int, np.ndarray]], only: int, lea
         for whole in batches:
             for b in kernel.slices(whole, most=SLICE):
                 t = Tokens(b)
-                earlier = [dict((n, at) for n, at, _ in t.countable(p)) for p in given.value[:-1]]
-                for n, at, key in t.countable(given.value[-1]):
-                    if only and n != only or n == 1 and earlier:
+                for n, at, key in t.countable(given.value):
+                    if only and n != only:
                         continue
-                    new = np.zeros(len(t.first), bool)
-                    new[at] = True
-                    for e in earlier:
-                        new[e.get(n, [])] = False
-                    fresh = new[at]
-                    key, at = key[fresh], at[fresh]
                     u, where, k = np.unique(key, return_index=True, return_counts=True)
                     a = np.empty(len(u), COUNTED)
                     a["key"], a["check"], a["n"] = u, t.checks(at[where], n), k
@@ -216,12 +239,12 @@ def proposals(docs: DataFrame, least: int, tasks: int) -> tuple[dict[int, DataFr
     return found, filters, max(tasks, int(SAMPLE * words // PART))
 
 
-def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, dict[int, np.ndarray], int]:
-    """All phrases (n, key, check, count) of up to LONGEST words of one piece that occur at least ``least`` times, filters that hold them, and the number of full passes."""
+def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
+    """All phrases (n, key, check, count) of up to LONGEST words of one piece that occur at least ``least`` times, and the number of full passes."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     proposed, filters, parts = proposals(docs, least, tasks)
     passes = [filters]
-    found = counted(docs.select("text", "lang"), passes, 0, least, parts)
+    found = new = counted(docs.select("text", "lang"), passes, 0, least, parts)
     while True:
         given = docs.sparkSession.sparkContext.broadcast(passes[-1])
 
@@ -234,19 +257,22 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, dict[int,
                     bad[at] = ~contains(words, key[at].view(np.uint64))
                 yield b.filter(pa.array(bad))
 
-        failures = written(found.filter(F.col("n") < LONGEST).mapInArrow(failed, found.schema))
-        levels = [r.n for r in failures.select("n").distinct().collect()]
+        # what a further pass counts it has proposed as well: only the first pass leaves failures
+        failures = written(new.filter(F.col("n") < LONGEST).mapInArrow(failed, new.schema)) if len(passes) == 1 else None
+        levels = [r.n for r in failures.select("n").distinct().collect()] if failures is not None else []
         if not levels:
-            return found, passes[-1], len(passes)
+            return found, len(passes)
         for n in levels:
             proposed[n] = proposed[n].unionByName(failures.filter(F.col("n") == n))
         passes.append(passes[-1] | {n: filter_of(proposed[n]) for n in levels})
-        found = found.unionByName(counted(docs.select("text", "lang"), passes, 0, least, parts))
+        new = counted(docs.select("text", "lang"), passes, 0, least, parts)
+        found = found.unionByName(new)
 
 
-def spelled(docs: DataFrame, keys: DataFrame, filters: dict[int, np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """lang, phrase and key, check of the phrases of ``keys``; and lang, words: how many word occurrences a language has."""
-    given = docs.sparkSession.sparkContext.broadcast((filters, filter_of(keys)))
+def spelled(docs: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lang, phrase and key, check of the frequent phrases of two words and more; and lang, n: how many word occurrences a language has."""
+    filters = {n: filter_of(often.filter(F.col("n") == n)) for n in range(1, LONGEST)}
+    given = docs.sparkSession.sparkContext.broadcast((filters, filter_of(often.filter("n > 1"))))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters, wanted = given.value
@@ -257,7 +283,7 @@ def spelled(docs: DataFrame, keys: DataFrame, filters: dict[int, np.ndarray]) ->
                 t = Tokens(b)
                 for name, k in zip(t.names, np.bincount(t.lang, minlength=len(t.names)).tolist(), strict=True):
                     words[name] = words.get(name, 0) + k
-                for n, at, key in t.countable(filters):
+                for n, at, key in t.countable([filters]):
                     if n > 1:
                         u, where = np.unique(key, return_index=True)
                         fresh = contains(wanted, u) & ~np.isin(u, seen)
@@ -311,8 +337,8 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text"
     """
     row = F.xxhash64(*docs.columns)
     given = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), row.alias("row"))
-    found, filters, _ = frequent(given, least)
-    phrases, words = spelled(given, found.filter("n > 1"), filters)
+    found, _ = frequent(given, least)
+    phrases, words = spelled(given, found)
     often = found.select("key", "check", "count")
     known = phrases.join(often, ["key", "check"]).withColumnRenamed("count", "a")
     parted = written(cuts(known))
