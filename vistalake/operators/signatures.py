@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vistalake.operators import digests
+
 # Fixed value: the version line of every canonical text.
 VERSION = "V1.0"
 
@@ -38,6 +40,29 @@ def collection_signature(name: Column, signatures: Column, expected: Column) ->
     return _parent("coll_contract", "seq_count", "seq_sigs", name, signatures, expected)
 
 
+def _signed_parents(rows: DataFrame, by: list[str], position: str, signature: str, name: Column, kind: str, count: str, sigs: str) -> DataFrame:
+    per = digests.counted(rows, by, F.count(F.when(F.length(signature) == 64, 1)).alias("_k"))
+    n = F.col("_n").cast("string")
+    before = F.concat(F.lit(f"{kind}="), name, F.lit(f"\n{count}="), n, F.lit(f"\n{sigs}="))
+    done = digests.ordered_digest(per, [*by, "_n", "_k"], [position], F.col(signature), ",", before, F.lit(f"\nversion={VERSION}"))
+    return done.select(*by, "n", F.when(F.col("_k") == F.col("_n"), F.col("digest")).alias("signature"))
+
+
+def signed_sequences(pages: DataFrame, by: list[str], position: str, signature: str, name: Column) -> DataFrame:
+    """``by``, n and signature of sequences from signed pages, one row each: as sequence_signature() without an array of a sequence. Null when a page is not signed."""
+    return _signed_parents(pages, by, position, signature, name, "seq_contract", "page_count", "page_sigs")
+
+
+def signed_collections(sequences: DataFrame, by: list[str], position: str, signature: str, name: Column) -> DataFrame:
+    return _signed_parents(sequences, by, position, signature, name, "coll_contract", "seq_count", "seq_sigs")
+
+
+def structural_hashes(pages: DataFrame, by: list[str], order: list[str], page: str, name: Column) -> DataFrame:
+    """``by``, n and digest: as structural_hash() without an array of a sequence."""
+    before = F.concat_ws("|", name, F.col("_n").cast("string"), F.lit(""))
+    return digests.ordered_digest(digests.counted(pages, by), by, order, F.col(page), "|", before)
+
+
 def structural_hash(name: Column, pages: Column) -> Column:
     """Of a sequence's name, number of pages and page names."""
     return F.sha2(F.concat_ws("|", name, F.size(pages).cast("string"), F.array_join(pages, "|")), 256)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vistalake.functions.shared import written
+from vistalake.operators import digests, gluing
 from vistalake.operators import signatures as S
 from vistalake.operators import vectors as V
 from vistalake.plans import adapters
@@ -36,8 +38,8 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = _signed(spark, sf_dir).groupBy("collection", "sequence").agg(F.count("*").alias("pages"), S.in_order("sig", "pos").alias("sigs"))
-    return per.select("collection", "sequence", "pages", S.sequence_signature(F.concat(F.lit("s"), "sequence"), F.col("sigs"), F.col("pages")).alias("signature"))
+    per = S.signed_sequences(_signed(spark, sf_dir), ["collection", "sequence"], "pos", "sig", F.concat(F.lit("s"), "sequence"))
+    return per.withColumnRenamed("n", "pages")
 
 
 @query("set_signature", f"{SIGNED} select sequence, pos, sig from s")
@@ -52,17 +54,17 @@ def sequence_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("collection_signature", f"{SIGNED} select * from d")
 def collection_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = _sequences(spark, sf_dir).groupBy("collection").agg(F.count("*").alias("sequences"), S.in_order("signature", "sequence").alias("sigs"))
-    return per.select("collection", "sequences", S.collection_signature(F.concat(F.lit("c"), "collection"), F.col("sigs"), F.col("sequences")).alias("signature"))
+    per = S.signed_collections(_sequences(spark, sf_dir), ["collection"], "sequence", "signature", F.concat(F.lit("c"), "collection"))
+    return per.withColumnRenamed("n", "sequences")
 
 
 SECTIONS = f"""with g as ({PAGES}), s as (select collection, part as member, sha256(part || '|' || count(*) || '|' || string_agg(page || flag, '|' order by sequence, pos)) as hash from g group by 1, 2)"""
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _pages(spark, sf_dir).withColumns({"place": F.struct("sequence", "pos"), "name": F.concat("page", "flag")})
-    per = named.groupBy("collection", F.col("part").alias("member")).agg(S.in_order("name", "place").alias("pages"))
-    return per.select("collection", "member", S.structural_hash(F.col("member").cast("string"), F.col("pages")).alias("hash"))
+    named = _pages(spark, sf_dir).select("collection", F.col("part").alias("member"), "sequence", "pos", F.concat("page", "flag").alias("name"))
+    per = S.structural_hashes(named, ["collection", "member"], ["sequence", "pos"], "name", F.col("member").cast("string"))
+    return per.select("collection", "member", F.col("digest").alias("hash"))
 
 
 @query("structural_hash", f"{SECTIONS} select * from s")
@@ -132,3 +134,57 @@ select *, case when best <= 0.3 then 'NO_MATCH' when best > 0.7 and gap > 0.1 th
 )
 def cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.cleanup(_vectors(spark, sf_dir).select("id", "v"), _codebook(spark, sf_dir))
+
+
+#: Sections of parts in collections; some have no hash, some parts no global form, some sections are replaced.
+GLUED = f"""with g as ({PAGES}), n as (select collection, part as member, count(*) as n_pages, sha256(string_agg(page || flag, '|' order by sequence, pos)) as names from g group by 1, 2),
+l as (select collection, collection as ord, member, names, n_pages, case when member % 31 <> 0 or collection % 5 <> 0 then sha256(member || '|' || n_pages || '|' || names) end as hash from n),
+a as (select member, arg_min(hash, ord) as hash from l where hash is not null and member % 29 <> 0 group by 1),
+o as (select collection, ord, member, names, n_pages, case when collection % 7 = 0 and member % 11 = 0 then sha256('o' || member) else hash end as hash from l),
+c as (select o.*, coalesce(o.hash = a.hash, false) as agrees, a.hash as expected from o left join a using (member))"""
+
+
+def _glued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    named = _pages(spark, sf_dir).select("collection", F.col("part").alias("member"), "sequence", "pos", F.concat("page", "flag").alias("name"))
+    per = digests.ordered_digest(named, ["collection", "member"], ["sequence", "pos"], F.col("name"), "|")
+    form = F.sha2(F.concat_ws("|", "member", "n_pages", "names"), 256)
+    sections = per.select("collection", F.col("collection").alias("ord"), "member", F.col("digest").alias("names"), F.col("n").alias("n_pages"))
+    sections = written(sections.withColumn("hash", F.when((F.col("member") % 31 != 0) | (F.col("collection") % 5 != 0), form)))
+    assignment = gluing.compose_assignment(sections).filter("member % 29 <> 0")
+    overrides = sections.filter("collection % 7 = 0 and member % 11 = 0").select("collection", "member", "names", "n_pages", F.sha2(F.concat(F.lit("o"), "member"), 256).alias("hash"))
+    return sections, assignment, overrides
+
+
+@query("compose_assignment", f"{GLUED} select * from a")
+def compose_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _glued(spark, sf_dir)[1]
+
+
+@query(
+    "verify_composition",
+    f"{GLUED} select collection, count(*) as checked, count(*) filter (where agrees) as agree, count(*) filter (where not agrees) as disagree, min(member) filter (where not agrees) as first_disagreement, bool_and(agrees) as passed from c group by 1",
+)
+def verify_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gluing.verify_composition(*_glued(spark, sf_dir))
+
+
+@query(
+    "composition_verdict",
+    f"{GLUED}, v as (select collection, bool_and(agrees) as passed from c group by 1) select count(*) as collections, count(*) filter (where passed) as agree, count(*) filter (where not passed) as disagree, case when bool_and(passed) then 'COMPOSABLE' else 'NOT_COMPOSABLE' end as verdict from v",
+)
+def composition_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gluing.composition_verdict(gluing.verify_composition(*_glued(spark, sf_dir)))
+
+
+@query(
+    "detect_obstructions",
+    f"""{GLUED}, t as (select member, count(*) as total, count(hash) as known from o group by 1),
+r as (select 'COVERAGE_GAP' as kind, member, 'collections' as against, cast(null as varchar) as form, count(*) as collections, min(collection) as representative, count(*) * (any_value(total) - count(*)) + count(*) * (count(*) - 1) // 2 as conflicts from o join t using (member) where hash is null group by member
+union all select 'PAGE_STRUCTURE_CONFLICT', member, 'collections', n_pages || '/' || names, count(*), min(collection), count(*) * (any_value(known) - count(*)) from o join t using (member) where hash is not null group by member, n_pages, names
+union all select 'HASH_CYCLE_CONFLICT', member, 'collections', hash, count(*), min(collection), count(*) * (any_value(known) - count(*)) from o join t using (member) where hash is not null group by member, hash
+union all select 'COVERAGE_GAP', member, '(global)', null, count(*), min(collection), count(*) from c where hash is not null and expected is null group by member
+union all select 'ASSIGNMENT_CONTRADICTION', member, '(global)', hash, count(*), min(collection), count(*) from c where hash <> expected group by member, hash)
+select * from r where conflicts > 0""",
+)
+def detect_obstructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gluing.detect_obstructions(*_glued(spark, sf_dir))
