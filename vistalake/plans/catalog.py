@@ -1,6 +1,6 @@
 """All registered queries of the engine proper."""
 
-from vistalake.plans import coherence, evidence, intake, live, programs, rules, spatial, steps, trees  # noqa: F401
+from vistalake.plans import coherence, evidence, intake, live, pixels, programs, rules, spatial, steps, trees  # noqa: F401
 from vistalake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
