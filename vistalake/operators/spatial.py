@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistalake.functions import law
+from vistalake.operators.grid import close_pairs
 
 BOX = ("x", "y", "width", "height")
 
@@ -96,22 +97,9 @@ def frame_verdict(primitives: DataFrame, max_px: float = law.ADJACENT_MAX_PX) ->
 
 
 def near_pairs(primitives: DataFrame, max_px: float = law.ADJACENT_MAX_PX) -> DataFrame:
-    """Pairs a < b of valid boxes of a frame that are at most ``max_px`` apart, with all box columns (prefixes a_ and b_).
-
-    Each box, grown by ``max_px``, is laid on grid cells of that size and meets only boxes that start in one of its cells: no
-    all-pairs join of a frame. A pair is kept where the later box's anchor cell is met, so that it appears once for each order.
-    """
-    kept = valid_primitives(primitives).select("frame_id", "prim_idx", "kind", *BOX, "confidence")
-    cell = float(max(max_px, 1.0))
-    # the larger of both origins lies within the other box grown by max_px, in each axis
-    reach = lambda lo, side: F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(lo) + F.col(side) + max_px) / cell))
-    a = kept.select(*[F.col(c).alias(f"a_{c}") for c in kept.columns]).withColumn("cx", F.explode(reach("a_x", "a_width")))
-    b = kept.select(*[F.col(c).alias(f"b_{c}") for c in kept.columns]).withColumn("cx", F.floor(F.col("b_x") / cell))
-    met = a.join(b, (F.col("a_frame_id") == F.col("b_frame_id")) & (a["cx"] == b["cx"]))
-    # x decides who reaches whom; equal origins go by index
-    first = (F.col("a_x") < F.col("b_x")) | ((F.col("a_x") == F.col("b_x")) & (F.col("a_prim_idx") < F.col("b_prim_idx")))
-    pairs = met.filter(first & (edge_distance("a_", "b_") <= max_px)).drop("cx", "b_frame_id").withColumnRenamed("a_frame_id", "frame_id")
-    return pairs
+    """Pairs of valid boxes of a frame that are at most ``max_px`` apart, each once, with all box columns (prefixes a_ and b_): met on a grid, no all-pairs join of a frame."""
+    pairs = close_pairs(valid_primitives(primitives), "frame_id", "prim_idx", ["kind", "confidence"], max_px)
+    return pairs.filter(edge_distance("a_", "b_") <= max_px)
 
 
 def adjacent(primitives: DataFrame, max_px: float = law.ADJACENT_MAX_PX) -> DataFrame:
@@ -140,11 +128,11 @@ def frame_summary(primitives: DataFrame) -> DataFrame:
     """Per frame: primitives, valid ones, relations of all pairs (three each), TRUE ones of both kinds."""
     ok = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("width") * F.col("height") >= law.MIN_AREA)
     frames = primitives.groupBy("frame_id").agg(F.count("*").alias("n_primitives"), F.count_if(ok).alias("n_valid"))
-    near = adjacent(primitives).groupBy("frame_id").agg(F.count("*").alias("adjacent_true"))
-    inside = contains(primitives).groupBy("frame_id").agg(F.count("*").alias("contains_true"))
+    # a box inside another is no distance from it: one pass over near pairs gives both relations
+    inside = sum((F.count_if(containment_margin(o, i) >= law.CONTAINS_MIN_MARGIN_PX) for o, i in (("a_", "b_"), ("b_", "a_"))), F.lit(0))
+    near = near_pairs(primitives).groupBy("frame_id").agg(F.count("*").alias("adjacent_true"), inside.alias("contains_true"))
     return (
         frames.join(near, "frame_id", "left")
-        .join(inside, "frame_id", "left")
         .select("frame_id", "n_primitives", "n_valid", F.expr("n_valid * (n_valid - 1) div 2 * 3").alias("n_relations"), F.coalesce("adjacent_true", F.lit(0)).alias("adjacent_true"), F.coalesce("contains_true", F.lit(0)).alias("contains_true"))
     )
 
