@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vistalake.llm import kernel
 from vistalake.llm.common import query, table, written
-from vistalake.llm.ngram_join import bloom, places
+from vistalake.llm.ngram_join import places
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: One document in SAMPLE proposes phrases that occur PROPOSE times in it; at LEAST * SAMPLE_SHARE of the share that one would expect.
@@ -29,6 +29,8 @@ SAMPLE, SAMPLE_SHARE = 8, 0.3
 #: Bits of a filter at most, phrases held in a task before they are sent on, and phrases for a part of the merge.
 FILTER_BITS, HELD, PART = 1 << 31, 1_500_000, 1_000_000
 SLICE = 2 << 20
+#: Parts of a merge at least, and bits of a segment of a filter.
+PARTS, SEGMENT = 32, 1 << 19
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -37,6 +39,7 @@ GAP[[0x20, 0x09]] = True
 #: Odd multipliers of the two parts of a key. Fixed values.
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 COUNTED = np.dtype([("key", "<u8"), ("check", "<u4"), ("n", "<u4")])
+ONCE = np.dtype([("key", "<u8"), ("check", "<u4")])
 
 
 def lanes(words: list[bytes]) -> np.ndarray:
@@ -161,6 +164,24 @@ def summed(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed(a: np.ndarray) -> bytes:
+    """Counts as bytes; most phrases occur once in a task, and those need no count."""
+    once = a[a["n"] == 1]
+    bare = np.empty(len(once), ONCE)
+    bare["key"], bare["check"] = once["key"], once["check"]
+    return len(once).to_bytes(8, "little") + bare.tobytes() + a[a["n"] > 1].tobytes()
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    n = int.from_bytes(body[:8], "little")
+    bare = np.frombuffer(body, ONCE, n, 8)
+    more = np.frombuffer(body, COUNTED, offset=8 + n * ONCE.itemsize)
+    out = np.ones(n + len(more), COUNTED)
+    out["key"][:n], out["check"][:n], out["n"][:n] = bare["key"], bare["check"], 1
+    out[n:] = more
+    return out
+
+
 def counted(docs: DataFrame, passes: list[dict[int, np.ndarray]], only: int, least: int, parts: int) -> DataFrame:
     """n, key, check, count: phrases that occur at least ``least`` times among those that the last of ``passes`` (filters by level) makes
     countable and no earlier one did; of ``only`` words, or of any number where that is 0."""
@@ -179,7 +200,7 @@ def counted(docs: DataFrame, passes: list[dict[int, np.ndarray]], only: int, lea
                 starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(a) else []
                 ends = np.append(starts[1:], len(a)) if len(a) else []
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([n] * len(starts), pa.int32()), pa.array([a[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())], ["part", "n", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([n] * len(starts), pa.int32()), pa.array([packed(a[i:j]) for i, j in zip(starts, ends, strict=True)], pa.binary())], ["part", "n", "body"])
 
         for whole in batches:
             for b in kernel.slices(whole, most=SLICE):
@@ -201,7 +222,7 @@ def counted(docs: DataFrame, passes: list[dict[int, np.ndarray]], only: int, lea
         by_n: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for n, body in zip(b.column("n").to_pylist(), b.column("body").to_pylist(), strict=True):
-                by_n.setdefault(n, []).append(np.frombuffer(body, COUNTED))
+                by_n.setdefault(n, []).append(unpacked(body))
         for n, bodies in by_n.items():
             a = np.concatenate(bodies)
             a = a[np.lexsort((a["check"], a["key"]))]
@@ -220,29 +241,48 @@ def counted(docs: DataFrame, passes: list[dict[int, np.ndarray]], only: int, lea
 
 
 def filter_of(keys: DataFrame) -> np.ndarray:
-    return bloom(keys.select(F.col("key").alias("id")), FILTER_BITS)
+    """A Bloom filter of the column key, of 12 bits a key up to FILTER_BITS: past that it holds more keys by chance. It comes to the driver in segments."""
+    bits = min(FILTER_BITS, 1 << max(12, (12 * keys.count()).bit_length()))
+    words = min(bits, SEGMENT) // 64
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(bits // 64, np.uint64)
+        for b in batches:
+            for at in places(b.column("key").to_numpy(), bits):
+                np.bitwise_or.at(got, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        parts = got.reshape(-1, words)
+        for i in np.flatnonzero(parts.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], ["segment", "body"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        bodies = [np.frombuffer(b, np.uint64) for b in t.column("body").to_pylist()]
+        return pa.table([t.column("segment")[:1], pa.chunked_array([pa.array([np.bitwise_or.reduce(bodies).tobytes()], pa.binary())])], ["segment", "body"])
+
+    out = np.zeros((bits // 64 // words, words), np.uint64)
+    for r in keys.select("key").mapInArrow(mark, "segment int, body binary").groupBy("segment").applyInArrow(merge, "segment int, body binary").collect():
+        out[r.segment] = np.frombuffer(r.body, np.uint64)
+    return out.ravel()
 
 
-def proposals(docs: DataFrame, least: int, tasks: int) -> tuple[dict[int, DataFrame], dict[int, np.ndarray], int]:
+def proposals(docs: DataFrame, least: int) -> tuple[dict[int, DataFrame], dict[int, np.ndarray], int]:
     """By level, the sample's frequent phrases and their filter; and the parts into which a full count should go."""
     sample = docs.filter(F.pmod(F.xxhash64("row", "text"), F.lit(SAMPLE)) == 0).select("text", "lang")
     low = max(2, int(least / SAMPLE * SAMPLE_SHARE))
     found: dict[int, DataFrame] = {}
     filters: dict[int, np.ndarray] = {}
-    parts = tasks
+    parts = PARTS
     for n in range(1, LONGEST):
         found[n] = counted(sample, [filters], n, low, parts)
         filters = filters | {n: filter_of(found[n])}
         if n == 1:
             words = found[1].agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-            parts = max(tasks, int(words // PART))
-    return found, filters, max(tasks, int(SAMPLE * words // PART))
+            parts = max(PARTS, int(words // PART))
+    return found, filters, max(PARTS, int(SAMPLE * words // PART))
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
     """All phrases (n, key, check, count) of up to LONGEST words of one piece that occur at least ``least`` times, and the number of full passes."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    proposed, filters, parts = proposals(docs, least, tasks)
+    proposed, filters, parts = proposals(docs, least)
     passes = [filters]
     found = new = counted(docs.select("text", "lang"), passes, 0, least, parts)
     while True:
@@ -271,6 +311,7 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
 
 def spelled(docs: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
     """lang, phrase and key, check of the frequent phrases of two words and more; and lang, n: how many word occurrences a language has."""
+    parts = max(PARTS, often.count() // (PART // 4))
     filters = {n: filter_of(often.filter(F.col("n") == n)) for n in range(1, LONGEST)}
     given = docs.sparkSession.sparkContext.broadcast((filters, filter_of(often.filter("n > 1"))))
 
@@ -278,6 +319,19 @@ def spelled(docs: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
         filters, wanted = given.value
         seen = np.zeros(0, np.uint64)
         words: dict[str, int] = {}
+        held: list[tuple[np.ndarray, list, list, np.ndarray]] = []
+        size = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            key, check = (np.concatenate([h[i] for h in held]) for i in (0, 3))
+            names, phrases = (np.array([x for h in held for x in h[i]], object) for i in (1, 2))
+            held.clear()
+            part = (key % np.uint64(parts)).astype(np.int64)
+            for p in np.unique(part).tolist():
+                at = np.flatnonzero(part == p)
+                cells = [pa.array([key[at].view(np.int64)], pa.list_(pa.int64())), pa.array([check[at].astype(np.int64)], pa.list_(pa.int64())), *[pa.array([x[at].tolist()], pa.list_(pa.string())) for x in (names, phrases)]]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *cells, pa.nulls(1, pa.list_(pa.int64()))], ["part", "key", "check", "lang", "phrase", "words"])
+
         for whole in batches:
             for b in kernel.slices(whole, most=SLICE):
                 t = Tokens(b)
@@ -290,13 +344,38 @@ def spelled(docs: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
                         u, at = u[fresh], at[where[fresh]]
                         if len(u):
                             seen = np.sort(np.append(u, seen if len(seen) < HELD else []).astype(np.uint64))
-                            cells = [pa.array([t.names[i] for i in t.lang[at]], pa.string()), pa.array([t.phrase(i, n) for i in at.tolist()], pa.string()), pa.array(u.view(np.int64)), pa.array(t.checks(at, n).astype(np.int64)), pa.nulls(len(u), pa.int64())]
-                            yield pa.RecordBatch.from_arrays(cells, ["lang", "phrase", "key", "check", "words"])
-        k = len(words)
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "key", "check", "words"])
-
-    rows = written(docs.select("text", "lang").mapInArrow(spell, "lang string, phrase string, key long, check long, words long"))
-    return rows.filter("phrase is not null").select("lang", "phrase", "key", "check").distinct(), rows.filter("phrase is null").groupBy("lang").agg(F.sum("words").alias("n"))
+                            held.append((u, [t.names[i] for i in t.lang[at]], [t.phrase(i, n) for i in at.tolist()], t.checks(at, n)))
+                            size += len(u)
+                if size > HELD // 8:
+                    yield from sent()
+                    size = 0
+        if held:
+            yield from sent()
+        none = [pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *none, pa.array([list(words)], pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.string())), pa.array([list(words.values())], pa.list_(pa.int64()))], ["part", "key", "check", "lang", "phrase", "words"])
+
+    def once(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the phrases of a part, each once; words of languages, summed
+        seen: set[tuple[int, int]] = set()
+        total: dict[str, int] = {}
+        for b in batches:
+            for key, check, lang, phrase, words in zip(*(b.column(c).to_pylist() for c in ("key", "check", "lang", "phrase", "words")), strict=True):
+                if words is not None:
+                    for name, k in zip(lang, words, strict=True):
+                        total[name] = total.get(name, 0) + k
+                    continue
+                new = [i for i, k in enumerate(zip(key, check, strict=True)) if k not in seen]
+                seen.update((key[i], check[i]) for i in new)
+                if new:
+                    cells = [pa.array([x[i] for i in new], t) for x, t in ((lang, pa.string()), (phrase, pa.string()), (key, pa.int64()), (check, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*cells, pa.nulls(len(new), pa.int64())], ["lang", "phrase", "key", "check", "n"])
+        if total:
+            k = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "phrase", "key", "check", "n"])
+
+    lists = docs.select("text", "lang").mapInArrow(spell, "part long, key array<long>, check array<long>, lang array<string>, phrase array<string>, words array<long>")
+    rows = written(lists.groupBy("part").applyInArrow(once, "lang string, phrase string, key long, check long, n long"))
+    return rows.filter("phrase is not null").select("lang", "phrase", "key", "check"), rows.filter("phrase is null").select("lang", "n")
 
 
 def cuts(phrases: DataFrame) -> DataFrame:
