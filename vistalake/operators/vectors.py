@@ -44,11 +44,15 @@ def _candidates(queries: DataFrame, codebook: DataFrame, block: int) -> DataFram
 
     The codebook stands in rows of about ``block`` entries; queries are laid out once for each block and meet it by an equality.
     """
-    # a codebook is small by its nature; its number of blocks is a number, not data
+    # the number of blocks is a number, not data
     n = max(1, -(-codebook.count() // block))
     packed = codebook.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("symbol", "v")).alias("entries"))
-    laid = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    scored = laid.join(packed, "block").select("id", F.transform("entries", lambda e: F.struct((-similarity(F.col("v"), e["v"])).alias("far"), e["symbol"].alias("symbol"))).alias("c"))
+    # each block stands once for each salt, so that queries spread over as many keys as there are partitions
+    salts = max(1, -(-int(codebook.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n))
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    packed = packed.withColumn("salt", each(salts))
+    laid = queries.withColumn("block", each(n)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    scored = laid.join(packed, ["block", "salt"]).select("id", F.transform("entries", lambda e: F.struct((-similarity(F.col("v"), e["v"])).alias("far"), e["symbol"].alias("symbol"))).alias("c"))
     return scored
 
 
@@ -60,10 +64,11 @@ def top_k_symbols(queries: DataFrame, codebook: DataFrame, k: int = 3, block: in
 
 
 def cleanup(queries: DataFrame, codebook: DataFrame, block: int = 1024) -> DataFrame:
-    """Per query the best symbol, the runner-up, their gap and CLEAN_MATCH, AMBIGUOUS, WEAK_MATCH or NO_MATCH. A single entry has the runner-up -1."""
-    two = top_k_symbols(queries, codebook, 2, block).groupBy("id").agg(
+    """Per query the best symbol, the runner-up, their gap and CLEAN_MATCH, AMBIGUOUS, WEAK_MATCH or NO_MATCH; ERROR where the codebook is empty or the vector null. A single entry has the runner-up -1."""
+    two = top_k_symbols(queries.filter("v is not null"), codebook, 2, block).groupBy("id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("symbol"))).alias("symbol"), F.max(F.when(F.col("rank") == 1, F.col("similarity"))).alias("best"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("similarity"))), F.lit(-1.0)).alias("second")
     )
     gap = F.col("best") - F.col("second")
-    verdict = F.when(F.col("best") <= MEDIUM, "NO_MATCH").when((F.col("best") > HIGH) & (gap > GAP), "CLEAN_MATCH").when(gap <= GAP, "AMBIGUOUS").otherwise("WEAK_MATCH")
-    return two.select("id", "symbol", "best", "second", gap.alias("gap"), verdict.alias("verdict"))
+    verdict = F.when(F.col("best").isNull(), "ERROR").when(F.col("best") <= MEDIUM, "NO_MATCH").when((F.col("best") > HIGH) & (gap > GAP), "CLEAN_MATCH").when(gap <= GAP, "AMBIGUOUS").otherwise("WEAK_MATCH")
+    # an empty codebook has no row for a query
+    return queries.select("id").join(two, "id", "left").select("id", "symbol", "best", "second", gap.alias("gap"), verdict.alias("verdict"))
