@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vistalake.functions.shared import shared_dir
 from vistalake.plans import adapters
 from vistalake.plans.registry import query
+from vistalake.sources import evidence
 from vistalake.streaming import live
 
 L = f"with f as ({adapters.LIVE_SQL})"
@@ -30,3 +32,26 @@ def sample_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = live.live_report(adapters.events(spark, sf_dir, adapters.LIVE_SQL))
     return r.select("source", F.expr("unix_micros(start) div 86400000000").alias("day"), "frames", "primitives", "mean_confidence", "max_confidence", "sure_frames", "never_empty")
+
+
+@query(
+    "executable_latch",
+    f"""{L} select source, bool_or(primitives > 0 and confidence >= 0.7) as reached, epoch_us(min(ts) filter (where primitives > 0 and confidence >= 0.7)) as first_us, count(*) filter (where primitives > 0 and confidence >= 0.7) as executable, count(*) as frames from f group by 1""",
+)
+def executable_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = live.executable_latch(adapters.events(spark, sf_dir, adapters.LIVE_SQL))
+    return r.select("source", "reached", F.unix_micros("first_ts").alias("first_us"), "executable", "frames")
+
+
+@query("executable_frames", f"{L} select source, frame_index, confidence from f where primitives > 0 and confidence >= 0.7")
+def executable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.executable_frames(adapters.events(spark, sf_dir, adapters.LIVE_SQL)).select("source", "frame_index", "confidence")
+
+
+@query("evidence_batches", f"with r as ({adapters.RECORDS_SQL}) select batch, epoch_us(ts) as ts_us, confidence, primitives, segments from r")
+def evidence_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches written as folders of JSON and read again."""
+    root = shared_dir(spark)
+    records = adapters.events(spark, sf_dir, adapters.RECORDS_SQL).withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+    evidence.write_evidence_batches(records, root)
+    return evidence.read_partitioned_batches(spark, root, records.drop("batch").schema).select("batch", "ts_us", "confidence", "primitives", "segments")

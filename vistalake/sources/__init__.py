@@ -1 +1 @@
-"""sources of the engine."""
+"""Sources and sinks: batches of evidence, media files, perception rows and programs."""
