@@ -77,9 +77,18 @@ def test_edges(spark):
     rows = [(1, "x " * 30000 + item.upper() + " y" * 30000), (1, "x " * 30000 + item.upper() + " y" * 30000), (2, None), (3, ""), (None, item), (4, "a short text")]
     docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, item_id string, distance string")
     for chars in (D.BLOCK_CHARS, 60):
-        got = sorted((r.doc_id or 0, r.item_id, r.distance) for r in D.contaminated(docs, bench, block_chars=chars).collect())
-        assert got == [(0, 1, 0), (0, 2, 0), (1, 1, 0), (1, 1, 0), (1, 2, 0), (1, 2, 0)]
+        got = sorted((r.doc_id or 0, -1 if r.item_id is None else r.item_id, r.distance) for r in D.contaminated(docs, bench, block_chars=chars).collect())
+        assert got == [(0, -1, 0), (0, 1, 0), (0, 2, 0), (1, -1, 0), (1, -1, 0), (1, 1, 0), (1, 1, 0), (1, 2, 0), (1, 2, 0), (4, 3, 0)]
         kept = D.clean(docs, bench, block_chars=chars)
-        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
     assert D.contaminated(docs.limit(0), bench).count() == 0
     assert D.contaminated(docs, bench.limit(0)).count() == 0 and D.clean(docs, bench.limit(0)).count() == 6
+    # an item without an id alone still cleans
+    assert sorted(r.doc_id or 0 for r in D.clean(docs, bench.filter('item_id is null')).collect()) == [2, 3, 4]
+
+
+def test_short_items_stand_between_word_edges():
+    f = D.Finder([(1, "what is 2+2?"), (2, "ab"), (3, "x")])
+    assert [h[0] for h in f.find("so What is  2+2? I ask")] == [1]
+    assert f.find("somewhat is 2+2?") == [] and f.find("what is 2+3?") == [] and f.find("cab abc") == []
+    assert f.find("ab, x") == [(2, 0, 0, 2), (3, 0, 4, 5)]

@@ -3,7 +3,7 @@
 A test item of m characters may be met with up to k = m * ERRORS edits. Cut into k + 1 pieces, at
 least one piece is met without an edit. One automaton finds all pieces of a block of items in a text; around each hit Myers'
 bit-parallel distance decides whether the item stands there. Both sides are compared in lower case and
-with single spaces between words.
+with single spaces between words. Items of fewer than LEAST_CHARS characters are found without edits, where no letter or digit stands next to them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from vistalake.llm.common import query, table
 
 ERRORS = 0.08
-#: Items with fewer characters say too little about where a text comes from and are not looked for.
+#: Items with fewer characters are met as they are only, between word edges: an edit makes too much of another text of them.
 LEAST_CHARS = 30
 #: Characters of items in one pass over the documents: the bound of what a task holds.
 BLOCK_CHARS = 8_000_000
@@ -73,10 +73,10 @@ class Finder:
     def __init__(self, items: Iterable[tuple[int, str]], errors: float = ERRORS):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * errors)) for i, t in items]
+        self.items = [(i, t, int(len(t) * errors) if len(t) >= LEAST_CHARS else 0) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, _) in enumerate(self.items):
-            for at, p in pieces(t, errors):
+            for at, p in pieces(t, errors) if len(t) >= LEAST_CHARS else [(0, t)]:
                 where.setdefault(p, []).append((k, at + len(p)))
         self.automaton = ahocorasick.Automaton()
         for p, places in where.items():
@@ -90,9 +90,15 @@ class Finder:
             return []
         t = normal(text)
         windows: dict[int, list[list[int]]] = {}
+        short: dict[int, tuple[int, int]] = {}
         for last, places in self.automaton.iter(t):
             for k, until in places:
                 _, item, most = self.items[k]
+                if len(item) < LEAST_CHARS:
+                    a, b = last + 1 - len(item), last + 1
+                    if k not in short and not t[a - 1 : a].isalnum() and not t[b : b + 1].isalnum():
+                        short[k] = a, b
+                    continue
                 begin = max(last + 1 - until - most, 0)
                 end = last + 1 - until + len(item) + most
                 mine = windows.setdefault(k, [])
@@ -101,7 +107,7 @@ class Finder:
                     mine[-1] = [min(begin, mine[-1][0]), max(end, mine[-1][1])]
                 else:
                     mine.append([begin, end])
-        out = []
+        out = [(self.items[k][0], 0, a, b) for k, (a, b) in sorted(short.items())]
         for k, mine in sorted(windows.items()):
             i, item, most = self.items[k]
             masks = self.masks.get(k) or self.masks.setdefault(k, masks_of(item))
@@ -116,19 +122,20 @@ class Finder:
 
 def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The items, normalised, in blocks of about ``block_chars`` characters: however many there are, each block fits a task."""
-    items = benchmark.select(F.col(key).cast("long").alias("i"), F.col(text).alias("t")).dropna()
+    items = benchmark.select(F.col(key).cast("long").alias("i"), F.col(text).alias("t")).dropna(subset=["t"])
     total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
     n = int(total // block_chars) + 1
     for b in range(n):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
-        yield sorted({(r.i, t) for r in rows if len(t := normal(r.t)) >= LEAST_CHARS})
+        yield sorted({(r.i, t) for r in rows if (t := normal(r.t))}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, end for each row of ``docs`` and item that it holds; clean documents give no row.
 
     Whole texts are searched. A null or empty text holds nothing, a null id is kept, repeated rows give repeated
-    results, items that share a text each give a row, and an empty table on either side gives no rows.
+    results, items that share a text each give a row, an item with a null id gives rows with a null item_id, an item without words is nowhere, and an empty
+    table on either side gives no rows.
     """
     spark = docs.sparkSession
     content = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
