@@ -237,7 +237,8 @@ def counted(docs: DataFrame, passes: list[dict[int, np.ndarray]], only: int, lea
                 )
 
     sent_ = docs.mapInArrow(tally, "part long, n int, body binary")
-    return written(sent_.groupBy("part").applyInArrow(merge, "n int, key long, check long, count long"))
+    # as many tasks as parts: their number follows the input
+    return written(sent_.repartition(parts, "part").groupBy("part").applyInArrow(merge, "n int, key long, check long, count long"))
 
 
 def filter_of(keys: DataFrame) -> np.ndarray:
@@ -374,7 +375,7 @@ def spelled(docs: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "phrase", "key", "check", "n"])
 
     lists = docs.select("text", "lang").mapInArrow(spell, "part long, key array<long>, check array<long>, lang array<string>, phrase array<string>, words array<long>")
-    rows = written(lists.groupBy("part").applyInArrow(once, "lang string, phrase string, key long, check long, n long"))
+    rows = written(lists.repartition(parts, "part").groupBy("part").applyInArrow(once, "lang string, phrase string, key long, check long, n long"))
     return rows.filter("phrase is not null").select("lang", "phrase", "key", "check"), rows.filter("phrase is null").select("lang", "n")
 
 
