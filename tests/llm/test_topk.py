@@ -28,3 +28,13 @@ def test_brute_force_with_ties_and_nulls(spark):
     got = sorted(tuple(x) for x in topk.top_k(df.filter("vec_id % 50 = 0"), df).collect())
     assert got == brute(rows, [i for i, _ in rows if i is not None and i % 50 == 0])
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
+
+
+def test_long_components_and_repeated_rows_are_exact(spark):
+    rows = [(0, [200000.0, 1.0]), (1, [200000.0, 0.0]), (2, [190000.0, 0.0]), (3, [0.5, 0.5]), (3, [0.5, 0.5]), (50, [1.0, 1.0]), (100, [-3e5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df.filter("vec_id % 50 = 0"), df).collect()}
+    assert {(0, 1, 1, 2621440000000000), (0, 2, 2, 2490368000000000), (50, 1, 0, 256 * 256 * 200001), (50, 4, 3, 65536), (50, 5, 3, 65536)} <= got
+    assert (100, 4, 2, -3 * 19 * 10**9 * 65536) in got
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1e300]), (2, [-1e300])], df.schema)
+    assert [(r.vec_id, r.score) for r in topk.top_k(huge.filter("vec_id = 0"), huge).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63 - 1))]

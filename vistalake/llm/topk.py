@@ -26,12 +26,13 @@ K, SCALE, QUERY_EVERY = 5, 256, 50
 ROWS, QUERY_ROWS = 4096, 512
 #: Numbers of segments, coarse to fine.
 LEVELS = (4, 8, 16)
-#: Scaled components are held to this size, so that sums of products fit 64 bits.
-CLAMP = 2**25
+#: Vectors with a scaled component beyond this size stand in blocks of their own, whose products are taken with integers of any length.
+WIDE = 2**24
+LONG = 2**63 - 1
 
 
 def scaled(column: pa.Array, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat integer components floor(scale * x), the offsets of the vectors, and which vectors take part."""
+    """Flat components floor(scale * x), whole numbers as doubles, the offsets of the vectors, and which vectors take part."""
     lists = column.cast(pa.large_list(pa.float64()))
     n = np.asarray([0 if v is None else v for v in pa.compute.list_value_length(lists).to_pylist()], np.int64)
     offsets = np.concatenate([[0], np.cumsum(n)])
@@ -42,19 +43,20 @@ def scaled(column: pa.Array, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray
     ok = (bad[offsets[1:]] == bad[offsets[:-1]]) & ~column.is_null().to_numpy(zero_copy_only=False)
     with np.errstate(invalid="ignore", over="ignore"):
         y = np.floor(scale * np.where(np.isfinite(x), x, 0.0))
-    return np.clip(y, -CLAMP, CLAMP).astype(np.int64), offsets, ok
+    # what overflows when scaled is held to the largest double
+    return np.nan_to_num(y), offsets, ok
 
 
 def blocks(vectors: DataFrame, rows: int, scale: int = SCALE) -> DataFrame:
-    """Packs vectors (id, v) of one dimension into blocks: dim, ids, values. Vectors that take no part are left out."""
+    """Packs vectors (id, v) of one dimension into blocks: dim, wide, ids, values (32-bit integers, doubles in a wide block). Vectors that take no part are left out."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def block(dim: int) -> pa.RecordBatch:
-            parts = held.pop(dim)
-            ids, v = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.astype(np.int32).tobytes()], pa.binary())], ["dim", "ids", "v"])
+        def block(dim: int, wide: bool) -> pa.RecordBatch:
+            ids, v = (np.concatenate(x) for x in zip(*held.pop((dim, wide)), strict=True))
+            cells = [pa.array([dim], pa.int32()), pa.array([wide]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.astype(float if wide else np.int32).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(cells, ["dim", "wide", "ids", "v"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
@@ -65,13 +67,16 @@ def blocks(vectors: DataFrame, rows: int, scale: int = SCALE) -> DataFrame:
                 for dim in np.unique(size[ok]).tolist():
                     mine = np.flatnonzero(ok & (size == dim))
                     v = flat[(offsets[mine][:, None] + np.arange(dim)).ravel()].reshape(len(mine), dim)
-                    held.setdefault(dim, []).append((ids[mine].astype(np.int64), v))
-                    if sum(len(i) for i, _ in held[dim]) >= rows:
-                        yield block(dim)
-        for dim in list(held):
-            yield block(dim)
+                    far = np.abs(v).max(1, initial=0.0) > WIDE
+                    for wide in (False, True):
+                        if (far == wide).any():
+                            held.setdefault((dim, wide), []).append((ids[mine[far == wide]].astype(np.int64), v[far == wide]))
+                            if sum(len(i) for i, _ in held[dim, wide]) >= rows:
+                                yield block(dim, wide)
+        for key in list(held):
+            yield block(*key)
 
-    return vectors.select("id", "v").mapInArrow(pack, "dim int, ids binary, v binary")
+    return vectors.select("id", "v").mapInArrow(pack, "dim int, wide boolean, ids binary, v binary")
 
 
 def statistics(v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +114,24 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return np.repeat(q_ids, [len(x) for x, _ in out]), np.concatenate([np.zeros(0, np.int64), *[x for x, _ in out]]), np.concatenate([np.zeros(0, np.int64), *[s for _, s in out]])
 
 
+def best_of_wide(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best_of(), with exact products of any size; a score beyond 64 bits counts as the largest or least long. No bounds: such rows are few."""
+    rows = [[int(x) for x in v] for v in c]
+    out = []
+    for i, v in zip(q_ids.tolist(), q, strict=True):
+        whole = [int(x) for x in v]
+        scores = [(-max(-LONG, min(LONG, sum(a * b for a, b in zip(whole, r, strict=True)))), j) for j, r in zip(c_ids.tolist(), rows, strict=True) if j != i]
+        out += [(i, j, -s) for s, j in sorted(scores)[:k]]
+    cells = list(zip(*out, strict=True)) if out else [(), (), ()]
+    return tuple(np.array(x, np.int64) for x in cells)  # type: ignore[return-value]
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = SCALE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best candidates other than itself, all if there are fewer.
 
     Score: inner product of the integer components floor(scale * x). Vectors that are null, or hold null or non-finite
-    components, or have a null id take no part; vectors of different dimensions don't meet; scaled components beyond
-    2^25 count as 2^25. Rows that repeat an id are candidates of their own (a query row answers once for its id). Extra
+    components, or have a null id take no part; vectors of different dimensions don't meet. Scores are exact; one beyond 64 bits
+    counts as the largest or least long. Rows that repeat an id are candidates of their own (a query row answers once for its id). Extra
     columns are not read, and an empty table gives no rows.
     """
     named = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null")
@@ -122,17 +139,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = SC
     q = written(blocks(named(queries), QUERY_ROWS, scale))
     # each block of queries meets each block of candidates once, by the blocks' numbers
     numbers = c.select("dim", "block")
-    pairs = q.select("dim", F.col("ids").alias("q_ids"), F.col("v").alias("q")).join(numbers, "dim").join(c, ["dim", "block"])
+    pairs = q.select("dim", F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("v").alias("q")).join(numbers, "dim").join(c, ["dim", "block"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, qi, qv, ci, cv in zip(*(b.column(n).to_pylist() for n in ("dim", "q_ids", "q", "ids", "v")), strict=True):
+            for dim, qw, qi, qv, cw, ci, cv in zip(*(b.column(n).to_pylist() for n in ("dim", "q_wide", "q_ids", "q", "wide", "ids", "v")), strict=True):
                 qi, ci = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                rows = lambda x, n: np.frombuffer(x, np.int32).reshape(n, dim).astype(np.int64)  # noqa: B023, E731
-                cells = best_of(qi, rows(qv, len(qi)), ci, rows(cv, len(ci)), k)
+                rows = lambda x, wide, n: np.frombuffer(x, float if wide else np.int32).reshape(n, dim)  # noqa: B023, E731
+                q_, c_ = rows(qv, qw, len(qi)), rows(cv, cw, len(ci))
+                cells = best_of_wide(qi, q_, ci, c_, k) if qw or cw else best_of(qi, q_.astype(np.int64), ci, c_.astype(np.int64), k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("dim", "q_ids", "q", "ids", "v").mapInArrow(score, "query_id long, vec_id long, score long")
+    found = pairs.select("dim", "q_wide", "q_ids", "q", "wide", "ids", "v").mapInArrow(score, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
