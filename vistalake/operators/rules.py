@@ -71,7 +71,47 @@ PERFORMANCE = (
     Rule("memory_usage", ERROR, "coalesce(memory_mb, 0) > 500"),
     Rule("exotic_hardware", CRITICAL, _flag("exotic_hardware_required")),
 )
-FAMILIES = {"promotion": PROMOTION, "authority": AUTHORITY, "inference": INFERENCE, "performance": PERFORMANCE}
+OBSERVATION = (
+    Rule("missing_image_anchor.pixel_coordinates", ERROR, "coalesce(pixel_coordinates, '') = ''"),
+    Rule("invalid_world_anchor_state.status", ERROR, "coalesce(anchor_status, '') not in ('unknown', 'estimated', 'resolved')"),
+    Rule("missing_photonic_signature.pixel_data_available", ERROR, "pixel_data_available is null"),
+    Rule("missing_photonic_signature.camera_metadata", ERROR, "camera_metadata is null"),
+    Rule("missing_time_slice.image_timestamp", ERROR, "image_timestamp is null"),
+    Rule("missing_integrity_state.evidence_chain", ERROR, "chain is null"),
+    Rule("missing_integrity_state.synthetic", ERROR, "synthetic is null"),
+    Rule("forbidden_integrity_state.synthetic_true", CRITICAL, _flag("synthetic")),
+    Rule("lacks_camera_metadata", WARNING, "coalesce(camera_metadata, '') = ''"),
+)
+#: Kinds of relations: eight of first order, five of higher order.
+RELATION_KINDS = "position adjacency direction distance containment boundary region_membership sequence scale hierarchy overlap continuity transition".split()
+_MEASURED = "(measurement_type is not null or observed_value is not null)"
+_VERIFIED = "(image_grounded is not null or verification_method is not null)"
+RELATION = (
+    Rule("invalid_relation_kind", ERROR, f"coalesce(relation_kind, '') not in ({', '.join(map(repr, RELATION_KINDS))})"),
+    Rule("missing_source_id", ERROR, "coalesce(source_id, '') = ''"),
+    Rule("missing_target_id", ERROR, "coalesce(target_id, '') = ''"),
+    Rule("missing_physical_measurement", ERROR, f"not {_MEASURED}"),
+    Rule("missing_physical_measurement.measurement_type", ERROR, f"{_MEASURED} and coalesce(measurement_type, '') = ''"),
+    Rule("missing_physical_measurement.observed_value", ERROR, f"{_MEASURED} and observed_value is null"),
+    Rule("missing_pixel_space_verification", ERROR, f"not {_VERIFIED}"),
+    Rule("missing_pixel_space_verification.image_grounded_true", ERROR, f"{_VERIFIED} and {_not('image_grounded')}"),
+    Rule("missing_pixel_space_verification.support", ERROR, f"{_VERIFIED} and coalesce(verification_method, '') = ''"),
+    Rule("forbidden_abstract_semantic", CRITICAL, _flag("abstract_semantic")),
+    Rule("missing_world_anchor_support", ERROR, "coalesce(world_claim, false) and support_status is null"),
+    Rule("invalid_world_anchor_support.status", ERROR, "coalesce(world_claim, false) and support_status is not null and support_status not in ('estimated', 'resolved')"),
+)
+#: ``improves`` is an array of what a claim says to improve.
+IMPROVEMENTS = ("confidence", "precision", "robustness", "speed", "tolerance")
+SCALABILITY = (
+    Rule("ontology_rewrite_required", CRITICAL, _flag("ontology_rewrite_required")),
+    Rule("behavior_changes_with_hardware", CRITICAL, _flag("behavior_changes_with_hardware")),
+    Rule("current_floor_invalidated", CRITICAL, _flag("current_floor_invalidated")),
+    Rule("hardware_required_for_legality", ERROR, _flag("hardware_required_for_legality")),
+    Rule("sensor_specific_semantics", ERROR, _flag("sensor_specific_semantics")),
+    Rule("non_capability_improvement_claim", ERROR, f"size(array_except(improves, array({', '.join(map(repr, IMPROVEMENTS))}))) > 0"),
+    Rule("changes_law_shape", CRITICAL, _flag("changes_law_shape")),
+)
+FAMILIES = {"observation": OBSERVATION, "relation": RELATION, "promotion": PROMOTION, "authority": AUTHORITY, "inference": INFERENCE, "performance": PERFORMANCE, "scalability": SCALABILITY}
 
 
 def errors(rules: tuple[Rule, ...]) -> Column:

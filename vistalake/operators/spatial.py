@@ -195,3 +195,43 @@ def calibrate(primitives: DataFrame, profiles: DataFrame) -> DataFrame:
     capped = F.col("raw") > F.col("ceiling")
     verdict = F.when(F.col("ceiling").isNull(), "INVALID_PROFILE").when(~capped, "UNCAPPED").when(F.col("ceiling") < law.DEGRADED_BELOW, "DEGRADED").otherwise("CALIBRATED")
     return known.select("frame_id", "prim_idx", "profile", "raw", F.least("raw", "ceiling").alias("calibrated"), verdict.alias("verdict")).withColumn("calibrated", F.when(F.col("verdict") != "INVALID_PROFILE", F.col("calibrated")).otherwise(F.lit(0.0)))
+
+
+def indexed(primitives: DataFrame) -> DataFrame:
+    """The valid primitives of each frame, numbered anew from 0 in their order: what operations and bindings refer to."""
+    order = Window.partitionBy("frame_id").orderBy("prim_idx")
+    return valid_primitives(primitives).withColumn("prim_idx", F.row_number().over(order) - 1)
+
+
+def apply_operations(primitives: DataFrame, operations: DataFrame, max_px: float = law.ADJACENT_MAX_PX, margin: float = law.CONTAINS_MIN_MARGIN_PX) -> DataFrame:
+    """frame_id, op, a_idx, b_idx, measured, result, status of the operations (frame_id, op, a_idx, b_idx) ADJACENT and CONTAINS on indexed primitives. An
+    operation on a primitive that a frame lacks, or of another name, is skipped; a null index is none."""
+    side = lambda p: primitives.select("frame_id", *[F.col(c).alias(f"{p}{c}") for c in (*BOX, "confidence")], F.col("prim_idx").alias(f"{p}idx"))
+    met = operations.filter(F.col("op").isin("ADJACENT", "CONTAINS")).join(side("a_"), ["frame_id", "a_idx"]).join(side("b_"), ["frame_id", "b_idx"])
+    near = F.col("op") == "ADJACENT"
+    measured = F.when(near, edge_distance("a_", "b_")).otherwise(containment_margin("a_", "b_"))
+    result = F.when(near, measured <= max_px).otherwise(measured >= margin)
+    return met.select("frame_id", "op", "a_idx", "b_idx", measured.alias("measured"), result.alias("result"), relation_status("a_", "b_").alias("status"))
+
+
+def process_frames(primitives: DataFrame, operations: DataFrame, bindings: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """frame_id, calibration, n_parsed, n_assertions, n_true, n_false, n_heuristic, type_verdict, verdict: the whole chain of a frame.
+
+    With ``profiles``, confidences are first capped by the frame's profile (column profile of the primitives; an unknown one leaves no confidence). Invalid primitives go and
+    the others are numbered anew; operations are evaluated, the frame is checked, and only a well-typed frame gets EMPTY, FAIL, PARTIAL or PASS, another one SKIPPED. Frames without a valid
+    primitive stay. All joins are by frame.
+    """
+    frames = primitives.select("frame_id").distinct()
+    if profiles is not None:
+        capped = calibrate(primitives, profiles).select("frame_id", "prim_idx", "calibrated", F.col("verdict").alias("_sound"))
+        primitives = primitives.join(capped, ["frame_id", "prim_idx"]).withColumn("confidence", F.col("calibrated")).drop("calibrated", "_sound")
+    parsed = indexed(primitives)
+    applied = apply_operations(parsed, operations).groupBy("frame_id").agg(
+        F.count("*").alias("n_assertions"), F.count_if("result").alias("n_true"), F.count_if(~F.col("result")).alias("n_false"), F.count_if(F.col("status") == law.HEURISTIC).alias("n_heuristic")
+    )
+    checked = type_check_frames(parsed, operations, bindings.join(parsed.select("frame_id", "prim_idx"), ["frame_id", "prim_idx"], "left_semi")).select("frame_id", F.col("n_primitives").alias("n_parsed"), F.col("verdict").alias("type_verdict"))
+    counts = ["n_assertions", "n_true", "n_false", "n_heuristic"]
+    all_ = frames.join(checked, "frame_id", "left").join(applied, "frame_id", "left").fillna(0, ["n_parsed", *counts]).fillna("EMPTY", ["type_verdict"])
+    ran = F.when(F.col("n_assertions") == 0, law.EMPTY).when(F.col("n_false") > 0, law.FAIL).when(F.col("n_heuristic") > 0, law.PARTIAL).otherwise(law.PASS)
+    verdict = F.when(F.col("type_verdict") == "ILL_TYPED", "SKIPPED").otherwise(ran)
+    return all_.select("frame_id", F.lit("UNCALIBRATED" if profiles is None else "CALIBRATED").alias("calibration"), "n_parsed", *counts, "type_verdict", verdict.alias("verdict"))

@@ -187,3 +187,34 @@ select frame_id, n_missing, n_extra, n_common, n_changed, round(mc, 6) as max_co
 def delta_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = delta.delta_verdict(_diff(spark, sf_dir), adapters.with_primitives(spark, sf_dir, adapters.CHANGED_SQL))
     return v.withColumns({c: F.round(c, 6) for c in ("max_confidence_delta", "max_position_delta")})
+
+
+#: Frames whose profile caps confidences; indices refer to valid boxes.
+PROCESSED = f"""with p0 as ({adapters.PRIMITIVES_SQL}), p1 as (select * replace (case when frame_id % 10 = 0 then 0.0 else width end as width) from p0), {FACTORS},
+p as (select p1.* replace (case when ceiling is null then 0.0 else least(greatest(0.0, least(1.0, confidence)), ceiling) end as confidence) from p1 left join g on g.profile = concat('p', p1.frame_id % 27)),
+k as (select * replace (row_number() over (partition by frame_id order by prim_idx) - 1 as prim_idx) from p where width > 0 and height > 0 and width * height >= 4.0), o as ({adapters.OPERATIONS_SQL.replace("from p ", "from p0 ")}), n as ({adapters.BINDINGS_SQL.replace("from p ", "from p0 ")}),
+a as (select o.frame_id, o.op, o.a_idx, o.b_idx, case op when 'ADJACENT' then {DISTANCE} <= 30 else {MARGIN} >= 0 end as result, a.confidence >= 1.0 and b.confidence >= 1.0 as sure, op = 'CONTAINS' and a.width * a.height < b.width * b.height as smaller
+  from o join k a on o.frame_id = a.frame_id and o.a_idx = a.prim_idx join k b on o.frame_id = b.frame_id and o.b_idx = b.prim_idx),
+r as (select frame_id, count(*) as n_assertions, count(*) filter (where result) as n_true, count(*) filter (where not result) as n_false, count(*) filter (where not sure) as n_heuristic, bool_or(a_idx = b_idx or smaller) as bad from a group by 1),
+x as (select n.frame_id, bool_or(trim(name) = '') as blank from n join k using (frame_id, prim_idx) group by 1), c as (select frame_id, count(*) as n_parsed from k group by 1), fr as (select distinct frame_id from p0),
+t as (select frame_id, coalesce(n_parsed, 0) as n_parsed, coalesce(n_assertions, 0) as n_assertions, coalesce(n_true, 0) as n_true, coalesce(n_false, 0) as n_false, coalesce(n_heuristic, 0) as n_heuristic,
+  case when n_parsed is null then 'EMPTY' when coalesce(bad, false) or coalesce(blank, false) then 'ILL_TYPED' else 'WELL_TYPED' end as type_verdict from fr left join c using (frame_id) left join r using (frame_id) left join x using (frame_id))
+select *, 'CALIBRATED' as calibration, case when type_verdict = 'ILL_TYPED' then 'SKIPPED' when n_assertions = 0 then 'EMPTY' when n_false > 0 then 'FAIL' when n_heuristic > 0 then 'PARTIAL' else 'PASS' end as verdict from t"""
+
+
+@query("process_frames", PROCESSED)
+def process_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = adapters.primitives(spark, sf_dir).withColumns({"profile": F.concat(F.lit("p"), F.col("frame_id") % 27), "width": F.when(F.col("frame_id") % 10 == 0, 0.0).otherwise(F.col("width"))})
+    given = (adapters.with_primitives(spark, sf_dir, t) for t in (adapters.OPERATIONS_SQL, adapters.BINDINGS_SQL))
+    return spatial.process_frames(p, *given, adapters.profiles(spark, sf_dir))
+
+
+@query(
+    "apply_operations",
+    f"""{P}, i as (select * replace (row_number() over (partition by frame_id order by prim_idx) - 1 as prim_idx) from kept), o as ({adapters.OPERATIONS_SQL})
+select o.frame_id, op, a_idx, b_idx, round(case op when 'ADJACENT' then {DISTANCE} else {MARGIN} end, 6) as measured, case op when 'ADJACENT' then {DISTANCE} <= 30 else {MARGIN} >= 0 end as result, {SURE} as status
+from o join i a on o.frame_id = a.frame_id and o.a_idx = a.prim_idx join i b on o.frame_id = b.frame_id and o.b_idx = b.prim_idx""",
+)
+def apply_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    applied = spatial.apply_operations(spatial.indexed(adapters.primitives(spark, sf_dir)), adapters.with_primitives(spark, sf_dir, adapters.OPERATIONS_SQL))
+    return applied.withColumn("measured", F.round("measured", 6))
