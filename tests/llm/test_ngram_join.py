@@ -110,3 +110,11 @@ def test_cut_columns(spark, monkeypatch):
     base = [f"w{rng.randrange(300)}" for _ in range(50)]
     texts = near_copies(rng, base, 70, 2) + [" ".join(rng.choices(base, k=30)) for _ in range(20)]
     same(spark, [(i * 3, t) for i, t in enumerate(texts)])
+
+
+def test_an_id_with_two_texts_links_both(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(f"a{w}" for w in words), " ".join(words)
+    near = b.replace("w59", "other")
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (9, near)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in ngram_join.link(df).collect()} == {(1, 1), (5, 1), (9, 1)}

@@ -437,8 +437,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - PERCENT) // 100 // 1_000_000))
     entries = prefix_entries(named, frequent_columns(named, n_rows), blocks)
-    # copies meet once, by their heads
-    head_of = written(copies.filter("u <> v").groupBy("u").agg(F.min("v").alias("v")))
+    # ids that stand for several texts have no histogram: their pairs go to the texts
+    repeated = written(sized.groupBy("id").count().filter("count > 1").select("id"))
+    # copies meet once, by their heads; an id with several texts stands for itself, as its head has but one of them
+    head_of = written(copies.filter("u <> v").join(repeated.withColumnRenamed("id", "u"), "u", "left_anti").groupBy("u").agg(F.min("v").alias("v")))
 
     def by_head(pairs: DataFrame) -> DataFrame:
         # a pair that meets in many blocks is one
@@ -447,8 +449,6 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             pairs = pairs.join(head_of.select(F.col("u").alias(c), F.col("v").alias("h")).hint("merge"), c, "left").withColumn(c, F.coalesce("h", c)).drop("h")
         return pairs.filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
 
-    # ids that stand for several texts have no histogram: their pairs go to the texts
-    repeated = written(sized.groupBy("id").count().filter("count > 1").select("id"))
     single = sized.filter("id is not null").join(repeated, "id", "left_anti").select("id", "n_shingles", "hist")
     met = written(meetings(entries))
     pairs = written(allowed(by_head(met.filter("h is null").select("p", "q")), single))
