@@ -17,7 +17,7 @@ def track_bindings(frames: DataFrame) -> DataFrame:
     dx, dy = F.col("cx") - F.lag("cx").over(order), F.col("cy") - F.lag("cy").over(order)
     moved = frames.withColumn("moved", F.sqrt(dx * dx + dy * dy))
     last = frames.groupBy("stream").agg(F.max("pos").alias("last_pos"))
-    per = moved.groupBy("stream", "name").agg(F.count("*").alias("frames_seen"), F.coalesce(F.sum("moved"), F.lit(0.0)).alias("total_drift"), F.coalesce(F.max("moved"), F.lit(0.0)).alias("max_drift"), F.min("pos").alias("first_pos"))
+    per = moved.groupBy("stream", "name").agg(F.countDistinct("pos").alias("frames_seen"), F.coalesce(F.sum("moved"), F.lit(0.0)).alias("total_drift"), F.coalesce(F.max("moved"), F.lit(0.0)).alias("max_drift"), F.min("pos").alias("first_pos"))
     # a frame after the first sighting without the name: fewer sightings than frames since then
     return per.join(last, "stream").select("stream", "name", "frames_seen", F.round("total_drift", 6).alias("total_drift"), F.round("max_drift", 6).alias("max_drift"), (F.col("last_pos") - F.col("first_pos") + 1 > F.col("frames_seen")).alias("lost"))
 
@@ -60,7 +60,9 @@ def state_machine(transitions: DataFrame) -> DataFrame:
 
 def first_disagreement(captures: DataFrame) -> DataFrame:
     """Per signal (capture index, payload): captures, the first index whose payload differs from the first capture's, or null, and whether all agree."""
-    order = Window.partitionBy("signal").orderBy("capture")
-    base = captures.withColumn("base", F.first("payload").over(order))
-    per = base.groupBy("signal").agg(F.count("*").alias("captures"), F.min(F.when(~F.col("payload").eqNullSafe(F.col("base")), F.col("capture"))).alias("first_difference"))
+    by_payload = captures.groupBy("signal", "payload").agg(F.count("*").alias("n"), F.min("capture").alias("first"))
+    base = by_payload.groupBy("signal").agg(F.sum("n").alias("captures"), F.min("first").alias("base"))
+    # a payload that is not the first one's first differs where it first appears
+    other = by_payload.join(base.select("signal", "base"), "signal").filter("first > base").groupBy("signal").agg(F.min("first").alias("first_difference"))
+    per = base.drop("base").join(other, "signal", "left")
     return per.withColumn("consistent", F.col("first_difference").isNull())
