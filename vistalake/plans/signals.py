@@ -76,9 +76,9 @@ def dispatch_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.dispatch_signals(*_signals(spark, sf_dir), row_us=ROW_US)
 
 
-#: Both channels of a payload: a signal of stripes and one of colours, paired by number; payloads are cut to the length that was meant.
+#: Both channels of a payload: a signal of stripes and one of colours, paired by number; payloads are cut to their routes, so that some agree.
 PAIRED = """
-select split_part(signal, '-', 2) as quarter, cast(split_part(signal, '-', 1) as bigint) as number, signal, substring(payload, 1, 4) as payload, route, verdict from v where signal not like '%none'
+select split_part(signal, '-', 2) as quarter, cast(split_part(signal, '-', 1) as bigint) as number, signal, substring(payload, 1, 2) as payload, route, verdict from v where signal not like '%none'
 """
 
 
