@@ -61,3 +61,23 @@ def delta_verdict(diffs: DataFrame, contracts_changed: DataFrame | None = None)
         .otherwise("DEGRADED")
     )
     return per.withColumn("verdict", verdict)
+
+
+def _both_sides(expected: DataFrame, observed: DataFrame, by: str, flag: str, number: str | None = None) -> DataFrame:
+    """Both sides by ``by`` and name; a side that is absent has false and 0. Of rows that repeat a name, one true flag counts, and the largest number."""
+    aggs = lambda p: [F.bool_or(F.coalesce(flag, F.lit(False))).alias(f"{p}_{flag}"), *([F.max(F.coalesce(number, F.lit(0.0))).alias(f"_{p}")] if number else [])]
+    e, o = expected.groupBy(by, "name").agg(*aggs("expected")), observed.groupBy(by, "name").agg(*aggs("observed"))
+    both = e.join(o, [by, "name"], "full").fillna(False, [f"expected_{flag}", f"observed_{flag}"])
+    both = both.fillna(0.0, ["_expected", "_observed"]) if number else both
+    return both.withColumn("changed", F.col(f"expected_{flag}") != F.col(f"observed_{flag}"))
+
+
+def diff_contracts(expected: DataFrame, observed: DataFrame, by: str) -> DataFrame:
+    """``by``, name, expected_passed, observed_passed, changed for contracts (``by``, name, passed); one that a side lacks counts as not passed there."""
+    return _both_sides(expected, observed, by, "passed").select(by, "name", "expected_passed", "observed_passed", "changed")
+
+
+def diff_signatures(expected: DataFrame, observed: DataFrame, by: str) -> DataFrame:
+    """``by``, name, expected_matched, observed_matched, similarity_delta, changed for signatures (``by``, name, matched, similarity); one that a side lacks counts as not matched, with similarity 0."""
+    both = _both_sides(expected, observed, by, "matched", "similarity")
+    return both.select(by, "name", "expected_matched", "observed_matched", (F.col("_observed") - F.col("_expected")).alias("similarity_delta"), "changed")
