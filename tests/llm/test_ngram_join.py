@@ -118,3 +118,10 @@ def test_an_id_with_two_texts_links_both(spark):
     near = b.replace("w59", "other")
     df = spark.createDataFrame([(1, a), (5, a), (5, b), (9, near)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in ngram_join.link(df).collect()} == {(1, 1), (5, 1), (9, 1)}
+
+
+def test_long_words_that_collide_under_every_multiplier(spark):
+    """The Thue-Morse word of 1,024 letters and its complement."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    df = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in ngram_join.link(df).collect()} == {(1, 1), (2, 2), (3, 1)}

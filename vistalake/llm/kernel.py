@@ -7,6 +7,7 @@ characters of ASCII.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1B54A32D192ED03
 _VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: Bytes of a word beyond which it is hashed alone.
+LONG_WORD = 512
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Hash values of the bytes as they are, and with A-Z as a-z.
@@ -99,7 +102,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A hash of each word, of 64 bits."""
+    """A hash of each word, of 64 bits. Long words get a cryptographic one: modulo 2^64 some words of 1,024 letters are equal under every multiplier."""
     if not len(first):
         return np.zeros(0, np.uint64)
-    return mixed(stretch(prefix(values[data]), first, end) + (end - first).astype(np.uint64))
+    out = mixed(stretch(prefix(values[data]), first, end) + (end - first).astype(np.uint64))
+    for i in np.flatnonzero(end - first > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(values[data[first[i] : end[i]]].tobytes(), digest_size=8).digest(), "little")
+    return out
