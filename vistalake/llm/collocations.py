@@ -27,8 +27,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: One document in SAMPLE proposes phrases that occur PROPOSE times in it; at LEAST * SAMPLE_SHARE of the share that one would expect.
 SAMPLE, SAMPLE_SHARE = 8, 0.3
 #: Bits of a filter at most, phrases held in a task before they are sent on, and phrases for a part of the merge.
-FILTER_BITS, HELD, PART = 1 << 31, 1_500_000, 1_000_000
-SLICE = 2 << 20
+FILTER_BITS, HELD, PART = 1 << 31, 1_000_000, 1_000_000
+SLICE = 1 << 20
 #: Parts of a merge at least, and bits of a segment of a filter.
 PARTS, SEGMENT = 32, 1 << 19
 
@@ -90,9 +90,6 @@ class Tokens:
         self.names = langs.dictionary.to_pylist()
         self.lang = langs.indices.to_numpy()[doc] if len(self.first) else np.zeros(0, np.int32)
         h = kernel.word_hashes(data, self.first, self.end, kernel.EXACT)
-        long = np.flatnonzero(self.end - self.first > 512)
-        if len(long):
-            h[long] = lanes([self.word(i) for i in long])[:, 0]
         self.one, self.two = KNOWN.lanes_of(h, data, self.first, self.end)
         self.of_lang = lanes([n.encode() for n in self.names])
 
@@ -192,6 +189,7 @@ def counted(docs: DataFrame, passes: list[dict[int, np.ndarray]], only: int, lea
         size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal held
             for n in list(held):
                 a = summed(held.pop(n))
                 part = (a["key"] % np.uint64(parts)).astype(np.int64)
@@ -214,8 +212,12 @@ def counted(docs: DataFrame, passes: list[dict[int, np.ndarray]], only: int, lea
                     held.setdefault(n, []).append(a)
                     size += len(a)
                 if size > HELD:
-                    yield from sent()
-                    size = 0
+                    # phrases of several slices are one entry; what is still much is sent on
+                    held = {n: [summed(a)] for n, a in held.items()}
+                    size = sum(len(a[0]) for a in held.values())
+                    if size > HELD // 2:
+                        yield from sent()
+                        size = 0
         yield from sent()
 
     def merge(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
