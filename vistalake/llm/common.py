@@ -32,10 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name inside the shared folder that the session names in spark.checkpoint.dir.
 
-    Where that is unset, as in a local test, a temporary folder takes its place for the session.
+    Where that is unset, a local session, as in a test, gets a temporary folder; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="vistalake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/vistalake-{uuid.uuid4().hex}"
