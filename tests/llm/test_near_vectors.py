@@ -1,6 +1,6 @@
 import numpy as np
 
-from tests.oracle import connect
+from tests.oracle import compare, connect
 from vistalake.llm import near_vectors as N
 from vistalake.llm import queries
 
@@ -90,6 +90,10 @@ def test_whole_table(spark):
     assert mine == brute(connect(sf).execute("select vec_id, embedding from embeddings").fetchall())
 
 
+def test_equals_sql(spark):
+    compare(spark, "/root/testdata/sf0.001", queries.QUERIES["op12_embedding_near_dedup"], queries.SQL["op12_embedding_near_dedup"])
+
+
 def test_empty(spark):
     assert got(spark, [(1, None)]) == [(1, 0, 1, True)]
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
