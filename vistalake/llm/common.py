@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="vistalake-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name inside the shared folder that the session names in spark.checkpoint.dir.
 
@@ -38,8 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="vistalake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_dir()
     return f"{root.rstrip('/')}/vistalake-{uuid.uuid4().hex}"
 
 
