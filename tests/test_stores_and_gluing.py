@@ -96,6 +96,18 @@ def test_obstructions_of_a_member_that_all_share(spark):
     assert got == {("HASH_CYCLE_CONFLICT", "h0", 5000, 25_000_000), ("HASH_CYCLE_CONFLICT", "h1", 5000, 25_000_000), ("ASSIGNMENT_CONTRADICTION", "h1", 5000, 5000)}
 
 
+def test_obstructions_read_the_sections_once(spark):
+    """Conflicts come from the table of forms; digests may be binary and are shown in hexadecimal."""
+    text = sections(spark, ("A", "m", "aa", 2, "0a"), ("B", "m", "ab", 2, "0b"), ("C", "m", "aa", 2, "0a"), ("C", "x", "aa", 1, None), ("A", "x", "aa", 1, "0c"))
+    packed = text.withColumns({"names": F.unhex("names"), "hash": F.unhex("hash")})
+    found = [sorted(map(str, gluing.detect_obstructions(s, gluing.compose_assignment(s)).collect())) for s in (text, packed)]
+    assert found[0] == found[1] and any("'aa'" in r or "2/aa" in r for r in found[1])
+    marked = text.withColumn("member", F.udf(lambda m: m)("member"))
+    plan = gluing.detect_obstructions(marked, gluing.compose_assignment(text))._jdf.queryExecution().optimizedPlan().toString()
+    # the only lambdas are the sections', and forms are written before the plan is made
+    assert "<lambda>" not in plan
+
+
 def test_ordered_digest(spark):
     rows = [("a", i, f"v{i}") for i in (3, 1, 2)] + [("b", 1, None), ("b", 2, "é"), (None, 1, "x")]
     got = {(r.g, r.n): r.digest for r in digests.ordered_digest(spark.createDataFrame(rows, "g string, p int, v string"), ["g"], ["p"], F.col("v"), ",", F.lit("<"), F.lit(">")).collect()}
