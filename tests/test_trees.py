@@ -26,6 +26,15 @@ def test_own_confidence_bounds_the_fold(spark):
     assert trees.propagate_confidence(nodes(spark, (1, "r", None, 0, 0, "program", None, 1.0)).limit(0)).count() == 0
 
 
+def test_means_follow_sibling_order(spark):
+    """The last digit of a sum depends on its order, and 0.7 is a threshold: however rows are dealt and stored, children are added in sibling order."""
+    means = [0.6575, 0.5970833333333333, 0.9299999999999999, 0.7058333333333332, 0.7, 0.6095833333333333]
+    rows = [(p, "r", None, 0, 0, "program", None, 0.0) for p in range(40)] + [(p, f"n{i}", "r", 1, i, "x", None, c) for p in range(40) for i, c in enumerate(means)]
+    for seed in range(2):
+        dealt = nodes(spark, *rows).orderBy(F.rand(seed)).repartition(7)
+        assert {r.confidence_mean for r in trees.propagate_confidence(dealt).filter("parent is null").collect()} == {sum(means) / 6} == {0.6999999999999998}
+
+
 def test_status_and_pruning(spark):
     rows = [(1, n, "r", 1, i, "x", None, c) for i, (n, c) in enumerate([("full", 0.7), ("half", 0.6), ("none", 0.0)])] + [(1, "r", None, 0, 0, "program", None, 0.0)]
     for tier, traceable, synthetic, anchor, want in [

@@ -1,9 +1,9 @@
 """Evidence over trees of nodes.
 
 ``nodes``: program, node (unique in its program), parent (null for a root), depth (a child's is its parent's + 1), sibling (order among the
-children of a parent), op, target, confidence. A fold takes one level at a time, deepest first: the level below is aggregated by
-parent, partly before it is shuffled, and joined to the level, whose result is a table in the shared folder. So depth costs rounds, a node with any number of
-children costs no array, and a lost executor costs one level.
+children of a parent), op, target, confidence. A fold takes one level at a time, deepest first: the level below is folded by
+parent and joined to the level, whose result is a table in the shared folder. Sums of doubles depend on their order, so children are added in
+sibling order, by a window that runs along them. So depth costs rounds, a node with any number of children costs no array, and a lost executor costs one level.
 """
 
 from __future__ import annotations
@@ -28,6 +28,16 @@ def annotate_tree(nodes: DataFrame, context: DataFrame) -> DataFrame:
     return nodes.join(given, "program", "left").fillna(weakest)
 
 
+def _in_sibling_order(children: DataFrame) -> DataFrame:
+    """program, node, _mean and _min of the nodes that have ``children``. Means are added in sibling order, so that neither partitions nor splits of files show in the last digit."""
+    order = Window.partitionBy("program", "parent").orderBy("sibling", "confidence_mean", "confidence_min")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = children.filter("parent is not null").select(
+        "program", F.col("parent").alias("node"), F.avg("confidence_mean").over(running).alias("_mean"), F.min("confidence_min").over(running).alias("_min"), F.lead(F.lit(1)).over(order).alias("_more")
+    )
+    return along.filter("_more is null").drop("_more")
+
+
 def propagate_confidence(nodes: DataFrame) -> DataFrame:
     """Adds confidence_mean and confidence_min. A leaf has its own confidence (null: 0) in both. An inner node has the mean of its children's means and
     the least of their minima; a positive confidence of its own bounds the mean from below and the minimum from above."""
@@ -43,7 +53,7 @@ def propagate_confidence(nodes: DataFrame) -> DataFrame:
         if below is None:
             done = level.withColumns({"confidence_mean": own, "confidence_min": own})
         else:
-            sums = below.groupBy("program", F.col("parent").alias("node")).agg(F.avg("confidence_mean").alias("_mean"), F.min("confidence_min").alias("_min"))
+            sums = _in_sibling_order(below)
             mean = F.when(F.col("_mean").isNull(), own).when(own > 0, F.greatest(own, "_mean")).otherwise(F.col("_mean"))
             least = F.when(F.col("_min").isNull(), own).when(own > 0, F.least(own, "_min")).otherwise(F.col("_min"))
             done = level.join(sums, ["program", "node"], "left").withColumns({"confidence_mean": mean, "confidence_min": least}).drop("_mean", "_min")
