@@ -111,6 +111,19 @@ def test_vectors_of_symbols(spark):
     assert {r.verdict for r in empty.collect()} == {"ERROR"}
 
 
+def test_clean_up_compares_words_of_signs(spark):
+    """Sizes that fill no word; queries travel as words, not as arrays of elements."""
+    for dim in (1, 63, 64, 70, 130):
+        rnd = random.Random(dim)
+        vs = {s: [rnd.choice((1, -1)) for _ in range(dim)] for s in "abcq"}
+        df = spark.createDataFrame(list(vs.items()), "symbol string, v array<int>")
+        queries = df.filter("symbol = 'q'").select(F.lit(1).alias("id"), "v")
+        top = vectors.top_k_symbols(queries, df.filter("symbol <> 'q'"))
+        want = sorted((-sum(x * y for x, y in zip(vs["q"], vs[s])) / dim, s) for s in "abc")
+        assert [(-r.similarity, r.symbol) for r in top.orderBy("rank").collect()] == want
+    assert "bit_count" in top._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("ops,verdict", [([("ADJACENT", 0, 1)], "PASS"), ([("ADJACENT", 0, 2)], "FAIL"), ([("ADJACENT", 0, 9)], "EMPTY"), ([("ADJACENT", 1, 1)], "SKIPPED"), ([("CONTAINS", 1, 0)], "FAIL"), ([], "EMPTY")])
 def test_process_frames(spark, ops, verdict):
     p = spark.createDataFrame([(1, i, "REGION", x, 0.0, w, 10.0, 1.0) for i, (x, w) in enumerate([(0.0, 10.0), (5.0, 0.0), (12.0, 10.0), (500.0, 10.0)])], "frame_id int, prim_idx int, kind string, x double, y double, width double, height double, confidence double")

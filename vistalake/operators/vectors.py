@@ -31,6 +31,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(bind(a, b), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
+def packed(v: Column) -> Column:
+    """The signs of a bipolar vector as words of 64 bits, 1 for a positive element, the first one highest; the last word may hold fewer."""
+    word = lambda k: F.aggregate(F.slice(v, k * 64 + 1, F.lit(64)), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("long")))
+    return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 64).cast("int")), word))
+
+
+def packed_similarity(a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
+    """similarity() of packed vectors: elements less twice those that differ. Null where sizes differ."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.when(size_a == size_b, (size_a - 2 * differ) / size_a)
+
+
 def bundle(vectors: DataFrame, *by: str) -> DataFrame:
     """Majority vote of the vectors of each group; ties give 1. Elements are summed apart, so that a group of any size needs no array of all its vectors."""
     parts = vectors.select(*by, F.posexplode("v").alias("at", "x"))
@@ -42,17 +54,21 @@ def bundle(vectors: DataFrame, *by: str) -> DataFrame:
 def _candidates(queries: DataFrame, codebook: DataFrame, block: int) -> DataFrame:
     """Each query with the symbols of its blocks' codebook entries by falling similarity, ties by symbol.
 
-    The codebook stands in rows of about ``block`` entries; queries are laid out once for each block and meet it by an equality.
+    The codebook stands in rows of about ``block`` entries; queries are laid out once for each block and meet it by an equality. Vectors travel
+    and are compared as words of signs.
     """
     # the number of blocks is a number, not data
     n = max(1, -(-codebook.count() // block))
-    packed = codebook.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("symbol", "v")).alias("entries"))
+    book = codebook.select("symbol", F.size("v").alias("n"), packed(F.col("v")).alias("w"))
+    blocks = book.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("symbol", "n", "w")).alias("entries"))
     # each block stands once for each salt, so that queries spread over as many keys as there are partitions
     salts = max(1, -(-int(codebook.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n))
     each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    packed = packed.withColumn("salt", each(salts))
-    laid = queries.withColumn("block", each(n)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    scored = laid.join(packed, ["block", "salt"]).select("id", F.transform("entries", lambda e: F.struct((-similarity(F.col("v"), e["v"])).alias("far"), e["symbol"].alias("symbol"))).alias("c"))
+    blocks = blocks.withColumn("salt", each(salts))
+    words = queries.select("id", F.size("v").alias("n"), packed(F.col("v")).alias("w"))
+    laid = words.withColumn("block", each(n)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    far = lambda e: -packed_similarity(F.col("w"), e["w"], F.col("n"), e["n"])
+    scored = laid.join(blocks, ["block", "salt"]).select("id", F.transform("entries", lambda e: F.struct(far(e).alias("far"), e["symbol"].alias("symbol"))).alias("c"))
     return scored
 
 
