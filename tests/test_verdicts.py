@@ -124,6 +124,19 @@ def test_clean_up_compares_words_of_signs(spark):
     assert "bit_count" in top._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_large_set_makes_no_row_an_element(spark):
+    book = spark.createDataFrame([("a", [1] * 69 + [-1]), ("b", [-1] * 70)], "symbol string, v array<int>")
+    members = spark.range(30_000).select(F.lit("s").alias("id"), F.col("id").cast("int").alias("position"), F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 3 == 1, "none").otherwise("a").alias("symbol"))
+    got = hypervectors.encode_ordered_set(members.unionByName(members.limit(1).select(F.lit(None).cast("string").alias("id"), "position", F.lit("b").alias("symbol"))), book, "id")
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    sums = [0] * 70
+    for p in range(30_000):
+        for i in range(70):
+            if p % 3 != 1:
+                sums[(i + p) % 70] += -1 if p % 3 == 0 or i == 69 else 1
+    assert {r.id: (r.members, r.unknown, r.v) for r in got.collect()} == {"s": (30_000, 10_000, [1 if s >= 0 else -1 for s in sums]), None: (1, 0, [-1] * 70)}
+
+
 @pytest.mark.parametrize("ops,verdict", [([("ADJACENT", 0, 1)], "PASS"), ([("ADJACENT", 0, 2)], "FAIL"), ([("ADJACENT", 0, 9)], "EMPTY"), ([("ADJACENT", 1, 1)], "SKIPPED"), ([("CONTAINS", 1, 0)], "FAIL"), ([], "EMPTY")])
 def test_process_frames(spark, ops, verdict):
     p = spark.createDataFrame([(1, i, "REGION", x, 0.0, w, 10.0, 1.0) for i, (x, w) in enumerate([(0.0, 10.0), (5.0, 0.0), (12.0, 10.0), (500.0, 10.0)])], "frame_id int, prim_idx int, kind string, x double, y double, width double, height double, confidence double")
