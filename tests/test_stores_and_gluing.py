@@ -108,6 +108,16 @@ def test_obstructions_read_the_sections_once(spark):
     assert "<lambda>" not in plan
 
 
+def test_verification_joins_overrides_by_flags(spark, monkeypatch):
+    """An override may lack a hash or repeat, a section may repeat; no hash travels to the join by collection and member."""
+    s = sections(spark, ("A", "m", "n", 2, "h"), ("B", "m", "n", 2, "h"), ("B", "m", "n", 2, "g"), ("C", "m", "n", 2, None), ("C", "y", "n", 1, "hy"))
+    a = gluing.compose_assignment(s).filter("member = 'm'")
+    o = spark.createDataFrame([("B", "m", "z", 9, "g"), ("B", "m", "n", 2, "h"), ("C", "m", "n", 2, "h"), ("A", "m", "n", 2, None), ("Z", "m", "n", 2, "h")], "collection string, member string, names string, n_pages long, hash string")
+    monkeypatch.setattr(gluing, "with_overrides", None)
+    got = gluing.verify_composition(s, a, o)
+    assert {(r.collection, r.checked, r.agree, r.disagree, r.first_disagreement, r.passed) for r in got.collect()} == {("A", 1, 0, 1, "m", False), ("B", 2, 2, 0, None, True), ("C", 2, 1, 1, "y", False)}
+
+
 def test_ordered_digest(spark):
     rows = [("a", i, f"v{i}") for i in (3, 1, 2)] + [("b", 1, None), ("b", 2, "é"), (None, 1, "x")]
     got = {(r.g, r.n): r.digest for r in digests.ordered_digest(spark.createDataFrame(rows, "g string, p int, v string"), ["g"], ["p"], F.col("v"), ",", F.lit("<"), F.lit(">")).collect()}
