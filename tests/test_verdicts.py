@@ -143,3 +143,18 @@ def test_process_frames(spark, ops, verdict):
     o = spark.createDataFrame([(1, *op) for op in ops], "frame_id int, op string, a_idx int, b_idx int")
     b = spark.createDataFrame([(1, 0, "n")], "frame_id int, prim_idx int, name string")
     assert [(r.n_parsed, r.verdict, r.calibration) for r in spatial.process_frames(p, o, b).collect()] == [(3, verdict, "UNCALIBRATED")]
+
+
+def test_small_frames_merge_inside_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f, i, float(rng.randrange(400)), float(rng.randrange(400)), float(rng.randrange(60)), float(rng.randrange(60)), rng.randrange(200)) for f in range(120) for i in range(rng.randrange(1, 12))]
+    rows += [(500, 0, None, 1.0, 1.0, 1.0, 5), (500, 1, 1.0, 1.0, 1.0, 1.0, None), (501, None, 1.0, 1.0, 1.0, 1.0, 5)]
+    df = spark.createDataFrame(rows, "frame_id long, prim_idx int, x double, y double, width double, height double, pixels int")
+    monkeypatch.setattr(pixels, "SMALL_FRAME", 0)
+    by_grid = sorted(map(tuple, pixels.merge_boxes(df).collect()), key=str)
+    monkeypatch.setattr(pixels, "SMALL_FRAME", 64)
+    assert sorted(map(tuple, pixels.merge_boxes(df).collect()), key=str) == by_grid
+    # no round of the grid for frames that a task holds
+    monkeypatch.setattr(pixels, "star_components", None)
+    monkeypatch.setattr(pixels, "close_pairs", None)
+    assert pixels.merge_boxes(df.filter("frame_id < 500")).count() == len([r for r in by_grid if r[0] < 500])
