@@ -1,13 +1,15 @@
 """Verdicts that must occur in the given tables, and small cases beyond them."""
 
+import hashlib
 import itertools
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect
-from vistalake.operators import hypervectors, intake, matching, pixels, signals, spatial, vectors
+from vistalake.operators import hypervectors, intake, matching, pixels, signals, signatures, spatial, vectors
 from vistalake.operators.grid import close_pairs
 from vistalake.plans import catalog
 
@@ -158,3 +160,35 @@ def test_small_frames_merge_inside_tasks(spark, monkeypatch):
     monkeypatch.setattr(pixels, "star_components", None)
     monkeypatch.setattr(pixels, "close_pairs", None)
     assert pixels.merge_boxes(df.filter("frame_id < 500")).count() == len([r for r in by_grid if r[0] < 500])
+
+
+def test_manifest_escapes_what_needs_it(spark):
+    sessions = spark.createDataFrame([(1, "d", "c")], "session long, description string, created_at string")
+    row = ("a.jpg", ".jpg", 5, 2, 3, "case", "tier", 'cam "é"', "t", {"k\\": "v", "n": None})
+    shape = "session long, position int, file_ref string, file_ext string, size long, width int, height int, case string, tier string, device string, captured_at string, metadata map<string,string>"
+    files = spark.createDataFrame([(1, 0, *row), (1, 1, "b.jpg", *row[1:7], None, "t", {})], shape)
+    records = [{"capture_device": d, "capture_timestamp": "t", "evidence_tier": "tier", "file_ext": ".jpg", "file_ref": r, "file_size_bytes": 5, "ingest_case_name": "case", "metadata": m, "resolution": "2x3"} for d, r, m in ((row[7], "a.jpg", {"k\\": "v", "n": "None"}), ("", "b.jpg", {}))]
+    whole = {"created_at": "c", "description": "d", "file_count": 2, "finalized": False, "manifest_hash": "", "records": records, "session_id": "1", "version": "V1.0"}
+    (m,) = intake.session_manifest(sessions, files).collect()
+    assert m.manifest_hash == hashlib.sha256(json.dumps(whole, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_groups_are_dealt_once(spark):
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    rows = spark.range(100).select((F.col("id") % 7).alias("g"), F.col("id").alias("position"), F.sha2(F.col("id").cast("string"), 256).alias("signature")).repartition(3, "g")
+    assert exchanges(signatures.signed_sequences(rows, ["g"], "position", "signature", F.lit("s"))) == 1
+    assert exchanges(matching.validate_sequence(rows, rows, "g")) == 2  # one a side
+
+
+def test_order_against_pairs(spark):
+    rng = random.Random(3)
+    sides = [[(rng.choice([1, 2, 3, 4, 5, 6, None]), rng.choice([1, 2, 3, None]), rng.choice("abcd") if rng.random() < 0.9 else None) for _ in range(n)] for n in (24, 18)]
+    df = [spark.createDataFrame(s, "sequence long, position int, signature string") for s in sides]
+    got = {r.sequence: (r.n, r.expected, r.matched, r.first_failed) for r in matching.validate_sequence(*df).collect()}
+    wanted = {}
+    for g in {s for s, _, _ in sides[0]} - {None}:
+        mine, named = ([r[1:] for r in s if r[0] == g] for s in sides)
+        met = [(p, s, w) for p, s in mine for w in ([w for q, w in named if q == p and p is not None] or [None])]
+        missed = [p for p, s, w in met if not (s is not None and s == w) and p is not None]
+        wanted[g] = (len(mine), len(named) or None, len(met) - sum(not (s is not None and s == w) for _, s, w in met), min(missed, default=None))
+    assert got == wanted

@@ -10,6 +10,11 @@ def _unit(n: Column) -> Column:
     return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
 
 
+def plain(text: Column) -> Column:
+    """Whether nothing in a text is escaped."""
+    return ~text.rlike(r'[^ -~]|["\\]')
+
+
 def quoted(text: Column) -> Column:
     """A JSON string: quotes and backslashes escaped, all but printable ASCII as \\uXXXX (pairs beyond 16 bits); null gives null."""
 
@@ -30,8 +35,7 @@ def quoted(text: Column) -> Column:
             .otherwise(F.concat(_unit(0xD800 + F.shiftright(high, 10)), _unit(0xDC00 + high.bitwiseAND(0x3FF))))
         )
 
-    plain = ~text.rlike(r'[^ -~]|["\\]')
-    body = F.when(plain, text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+    body = F.when(plain(text), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 

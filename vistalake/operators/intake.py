@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,13 +89,21 @@ def session_manifest(sessions: DataFrame, files: DataFrame) -> DataFrame:
     ``sessions``: session, description, created_at. ``files``: session, position, file_ref, file_ext, size, width, height, case, tier, device, captured_at, metadata (map). The hash is the
     SHA-256 of the manifest's canonical JSON with its records in the order of ``position``, taken row by row: no array of a session. Null texts count as empty.
     """
+    named = {"capture_device": "device", "capture_timestamp": "captured_at", "evidence_tier": "tier", "file_ext": "file_ext", "file_ref": "file_ref", "ingest_case_name": "case"}
+    given = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+
+    def recorded(string: Callable[[Column], Column]) -> Column:
+        pairs = F.transform(F.array_sort(F.map_entries(given)), lambda e: F.concat(string(e["key"]), F.lit(":"), string(F.coalesce(e["value"], F.lit("None")))))
+        return jsontext.object_(
+            **{k: string(F.coalesce(F.col(c), F.lit(""))) for k, c in named.items()}, file_size_bytes=F.col("size").cast("string"), metadata=F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")),
+            resolution=F.concat(F.lit('"'), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit('"')),
+        )
+
+    # one look at all texts of a record: most have nothing to escape
+    plain = jsontext.plain(F.concat_ws("", *named.values(), F.map_keys(given), F.map_values(given)))
+    record = F.when(plain, recorded(lambda c: F.concat(F.lit('"'), c, F.lit('"')))).otherwise(recorded(jsontext.string))
     text = lambda c: jsontext.string(F.coalesce(F.col(c), F.lit("")))
-    pairs = F.transform(F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>")))), lambda e: F.concat(jsontext.string(e["key"]), F.lit(":"), jsontext.string(F.coalesce(e["value"], F.lit("None")))))
-    record = jsontext.object_(
-        capture_device=text("device"), capture_timestamp=text("captured_at"), evidence_tier=text("tier"), file_ext=text("file_ext"), file_ref=text("file_ref"), file_size_bytes=F.col("size").cast("string"),
-        ingest_case_name=text("case"), metadata=F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), resolution=F.concat(F.lit('"'), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit('"')),
-    )
-    rows = digests.counted(files, ["session"]).join(sessions.select("session", "description", "created_at"), "session")
+    rows = digests.counted(files, ["session"], ["position"]).join(sessions.select("session", "description", "created_at"), "session")
     before = F.concat(F.lit('{"created_at":'), text("created_at"), F.lit(',"description":'), text("description"), F.lit(',"file_count":'), F.col("_n").cast("string"), F.lit(',"finalized":false,"manifest_hash":"","records":['))
     after = F.concat(F.lit('],"session_id":'), jsontext.string(F.col("session").cast("string")), F.lit(f',"version":"{MANIFEST_VERSION}"}}'))
     hashed = digests.ordered_digest(rows.withColumn("_record", record), ["session"], ["position"], F.col("_record"), ",", before, after)

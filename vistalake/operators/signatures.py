@@ -41,11 +41,11 @@ def collection_signature(name: Column, signatures: Column, expected: Column) ->
 
 
 def _signed_parents(rows: DataFrame, by: list[str], position: str, signature: str, name: Column, kind: str, count: str, sigs: str) -> DataFrame:
-    per = digests.counted(rows, by, F.count(F.when(F.length(signature) == 64, 1)).alias("_k"))
+    per = digests.counted(rows, by, [position], _k=F.count(F.when(F.length(signature) == 64, 1)))
     n = F.col("_n").cast("string")
     before = F.concat(F.lit(f"{kind}="), name, F.lit(f"\n{count}="), n, F.lit(f"\n{sigs}="))
-    done = digests.ordered_digest(per, [*by, "_n", "_k"], [position], F.col(signature), ",", before, F.lit(f"\nversion={VERSION}"))
-    return done.select(*by, "n", F.when(F.col("_k") == F.col("_n"), F.col("digest")).alias("signature"))
+    done = digests.ordered_digest(per, by, [position], F.col(signature), ",", before, F.lit(f"\nversion={VERSION}"), ["_k"])
+    return done.select(*by, "n", F.when(F.col("_k") == F.col("n"), F.col("digest")).alias("signature"))
 
 
 def signed_sequences(pages: DataFrame, by: list[str], position: str, signature: str, name: Column) -> DataFrame:
@@ -60,7 +60,7 @@ def signed_collections(sequences: DataFrame, by: list[str], position: str, signa
 def structural_hashes(pages: DataFrame, by: list[str], order: list[str], page: str, name: Column) -> DataFrame:
     """``by``, n and digest: as structural_hash() without an array of a sequence."""
     before = F.concat_ws("|", name, F.col("_n").cast("string"), F.lit(""))
-    return digests.ordered_digest(digests.counted(pages, by), by, order, F.col(page), "|", before)
+    return digests.ordered_digest(digests.counted(pages, by, order), by, order, F.col(page), "|", before)
 
 
 def structural_hash(name: Column, pages: Column) -> Column:
