@@ -27,7 +27,8 @@ def _observed(pages: DataFrame) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    signed = written(coherence._signed(spark, sf_dir).select("collection", "sequence", "pos", "page", "sig"))
+    # not written: both sides keep the partitions by sequence, and share their shuffle
+    signed = coherence._signed(spark, sf_dir).select("collection", "sequence", "pos", "page", "sig")
     return signed, _observed(signed)
 
 
