@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,20 +36,21 @@ def validate_order(children: DataFrame, contracts: DataFrame, by: str, words: tu
     there are children. No array of a parent is built, and repeated children make the order ambiguous, as they must.
     """
     unsupported, wrong_count, satisfied, wrong_order, failed = words
-    parents = children.groupBy(by).agg(F.count("*").alias("n"))
-    expected = contracts.groupBy(by).agg(F.count("*").alias("expected"))
-    named = contracts.select(by, "position", F.col("signature").alias("_wanted"))
-    placed = children.join(named, [by, "position"], "left")
-    hit = F.coalesce(F.col("signature") == F.col("_wanted"), F.lit(False))
-    matched = placed.groupBy(by).agg(F.count_if(hit).alias("matched"), F.min(F.when(~hit, F.col("position"))).alias("first_failed"))
-    counts = lambda df, c: df.filter("signature is not null").groupBy(by, "signature").agg(F.count("*").alias(c))
-    single = counts(children, "_p").filter("_p = 1").join(counts(contracts, "_c").filter("_c = 1"), [by, "signature"]).groupBy(by).agg(F.count("*").alias("_single"))
-    told = parents.join(expected, by, "left").join(matched, by).join(single, by, "left")
+    side = lambda df, child: df.select(by, "position", "signature", F.lit(child).alias("_child")).filter(F.col(by).isNotNull())
+    both = side(children, 1).unionByName(side(contracts, 0))
+    # the window deals rows by parent; all that follows is inside a parent
+    held = both.withColumn("_n", F.sum("_child").over(Window.partitionBy(by))).filter("_n > 0")
+    p, c = F.col("_p"), F.col("_c")
+    met = held.groupBy(by, "position", "signature").agg(F.sum("_child").alias("_p"), F.sum(1 - F.col("_child")).alias("_c"))
+    hits = F.when(F.col("signature").isNotNull() & F.col("position").isNotNull(), p * c).otherwise(0)
+    place, form = Window.partitionBy(by, "position"), Window.partitionBy(by, "signature")
+    # a child meets each row of the contract at its position, or none
+    pairs = F.sum("_p").over(place) * F.greatest(F.when(F.col("position").isNotNull(), F.sum("_c").over(place)), F.lit(1))
+    told = met.withColumns({"_hits": hits, "_missed": (p > 0) & (F.sum(hits).over(place) < pairs), "_once": F.col("signature").isNotNull() & (p == 1) & (F.sum("_p").over(form) == 1) & (F.sum("_c").over(form) == 1)})
+    per = told.groupBy(by).agg(F.sum("_p").alias("n"), F.nullif(F.sum("_c"), F.lit(0)).alias("expected"), F.sum("_hits").alias("matched"), F.min(F.when(F.col("_missed"), F.col("position"))).alias("first_failed"), F.count_if("_once").alias("_single"))
     n = F.col("n")
-    verdict = (
-        F.when(F.col("expected").isNull(), unsupported).when(F.col("expected") != n, wrong_count).when(F.col("matched") == n, satisfied).when(F.coalesce("_single", F.lit(0)) == n, wrong_order).otherwise(failed)
-    )
-    return told.select(by, "n", "expected", "matched", "first_failed", verdict.alias("verdict"))
+    verdict = F.when(F.col("expected").isNull(), unsupported).when(F.col("expected") != n, wrong_count).when(F.col("matched") == n, satisfied).when(F.col("_single") == n, wrong_order).otherwise(failed)
+    return per.select(by, "n", "expected", "matched", "first_failed", verdict.alias("verdict"))
 
 
 # The verdicts of both levels.
