@@ -142,3 +142,14 @@ def test_plan_places_each_once():
                 at += n
             assert at <= 64
         assert figures["lower_bound"] <= figures["sequences"] <= 1.15 * figures["lower_bound"] + 1
+
+
+def test_words_of_texts_in_a_row():
+    # a mark at the end of one text doesn't look into the next, and a call's distinct words meet the memo once
+    texts = ["x,", " y. z", "a.", "\nb", "", ",", ". ", "c,<|endoftext|> d", "é, f"]
+    enc, tok = WordEncoder(WORD), Tokenizer.from_file(WORD)
+    joined = "".join(texts).encode()
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    numbers, cuts = enc.numbered(np.frombuffer(joined, np.uint8), offsets)
+    for i, t in enumerate(texts):
+        assert enc.ids_of(numbers[cuts[i] : cuts[i + 1]]).tolist() == tok.encode(t, add_special_tokens=False).ids, t

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vistalake.llm import kernel
 from vistalake.llm.common import query, table, text_or_empty, written
 from vistalake.llm.wordwise import word_encoder
 
@@ -29,6 +30,8 @@ END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Ranks of one length that share a row of the plan.
 BLOCK = 1024
+#: Bytes of text whose distinct words are sought together.
+SLICE = 4 << 20
 #: Pieces in a bucket when ranks are given.
 BUCKET_ROWS = 100_000
 
@@ -210,15 +213,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in kernel.slices(whole, most=SLICE):
                 out: list[list] = [[], [], [], [], []]
-                words = encoder.word_numbers([x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()])
-                for doc, w in zip(b.column("doc_id").to_pylist(), words, strict=True):
-                    ids = np.append(encoder.ids_of(w), END_ID).astype("<u4")
+                numbers, cuts = encoder.numbered(*kernel.as_bytes(b.column("text")))
+                flat = encoder.ids_of(numbers).astype("<u4")
+                ends = np.append(0, np.cumsum(encoder.length[numbers]))[cuts].tolist()
+                for doc, first, end in zip(b.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
+                    ids = np.append(flat[first:end], np.uint32(END_ID))
                     for i, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
-                        for column, v in zip(out, (doc, i, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                        for column, v in zip(out, (doc, i, start, len(part), zlib.crc32(part)), strict=True):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

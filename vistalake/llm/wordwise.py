@@ -8,9 +8,12 @@ to be encoded once in a worker process. The memo is bounded; long words go past
 from __future__ import annotations
 
 import functools
-import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from vistalake.llm import kernel
 
 MEMO_WORDS = 800_000
 LONGEST = 64
@@ -54,10 +57,8 @@ class PieceCounter:
 class WordEncoder:
     """Ids of a ``tokenizers`` file whose pre-tokens hold no white space and part letters from marks."""
 
-    #: A comma or stop after a letter and before white space is a pre-token of its own.
-    MARK = re.compile(rb"(?<=[A-Za-z])([,.])(?=[\x20\x09-\x0D])")
     #: Words encoded in one call, with a special token between them.
-    JOINED = 64
+    JOINED = 512
 
     def __init__(self, path: str, between: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
@@ -73,53 +74,80 @@ class WordEncoder:
         self.begin = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int32)
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; a word that may hold a special token goes alone."""
-        texts = [w.decode() for w in words]
-        plain = [i for i, w in enumerate(texts) if "<|" not in w]
-        odd = [i for i, w in enumerate(texts) if "<|" in w]
-        out: list[list[int]] = [[]] * len(words)
-        groups = [plain[at : at + self.JOINED] for at in range(0, len(plain), self.JOINED)]
-        encoded = self.model.encode_batch_fast([self.between.join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, encoded, strict=True):
-            ids = e.ids
-            at = 0
-            for i in g[:-1]:
-                end = ids.index(self.between_id, at)
-                out[i] = ids[at:end]
-                at = end + 1
-            out[g[-1]] = ids[at:]
-        for i, e in zip(odd, self.model.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
-
-    def _learn(self, words: set[bytes]) -> None:
-        found = list(words)
-        ids = self._encode(found)
-        flat = np.fromiter((x for w in ids for x in w), np.int32)
-        n = np.fromiter(map(len, ids), np.int32, len(ids))
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one word after the other, and how many each has; words in which the special token may stand come without others."""
+        odd = [b"<|" in w for w in words]
+        plain = [w for w, o in zip(words, odd, strict=True) if not o]
+        glue = self.between.encode()
+        groups = [glue.join(plain[at : at + self.JOINED]).decode() + self.between for at in range(0, len(plain), self.JOINED)]
+        found = self.model.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32)
+        ends = np.flatnonzero(ids == self.between_id)
+        n = np.diff(ends, prepend=-1) - 1
+        ids = np.delete(ids, ends)
+        if len(plain) == len(words):
+            return ids, n
+        alone = [e.ids for e in self.model.encode_batch_fast([w.decode() for w, o in zip(words, odd, strict=True) if o], add_special_tokens=False)]
+        mixed, own, at = iter(np.split(ids, np.cumsum(n)[:-1])), iter(alone), []
+        for o in odd:
+            at.append(np.array(next(own) if o else next(mixed), np.int32))
+        return np.concatenate(at), np.array([len(x) for x in at], np.int64)
+
+    def _learn(self, found: list[bytes]) -> None:
+        flat, n = self._encode(found)
         k, end = len(self.memo), self.n_ids + len(flat)
-        while k + len(ids) > len(self.begin):
+        while k + len(n) > len(self.begin):
             self.begin, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.length))
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.n_ids : end] = flat
-        self.begin[k : k + len(ids)] = self.n_ids + np.cumsum(n) - n
-        self.length[k : k + len(ids)] = n
+        self.begin[k : k + len(n)] = self.n_ids + np.cumsum(n) - n
+        self.length[k : k + len(n)] = n
         self.n_ids = end
-        self.memo.update(zip(found, range(k, k + len(ids)), strict=True))
+        self.memo.update(zip(found, range(k, k + len(n)), strict=True))
 
-    def word_numbers(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Each text as numbers of words; they hold until the next call."""
+    def numbered(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of texts (bytes in a row, offsets) as numbers, one text after the other, and the cuts between texts; they hold until the next call.
+
+        Words end at the six white-space characters of ASCII; a comma or stop after a letter and before white space is a pre-token of its own.
+        Only the distinct words of the call meet the memo.
+        """
         if len(self.memo) > MEMO_WORDS:
             self._reset()
-        # bytes.split() cuts at the six white-space characters of ASCII
-        parts = [self.MARK.sub(rb" \1", t).split() for t in texts]
-        new = set().union(*parts) - self.memo.keys()
-        if new:
-            self._learn(new)
-        get = self.memo.__getitem__
-        return [np.fromiter(map(get, p), np.int64, len(p)) for p in parts]
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        ink = ~kernel.SPACE[data]
+        first = np.zeros(len(data) + 1, bool)
+        first[offsets] = True
+        first = first[:-1]
+        mark = np.zeros(len(data), bool)
+        at = np.flatnonzero((data[1:-1] == 0x2C) | (data[1:-1] == 0x2E)) + 1
+        before = data[at - 1] | 0x20
+        mark[at[(before >= 0x61) & (before <= 0x7A) & ~ink[at + 1] & ~first[at] & ~first[at + 1]]] = True
+        start = ink.copy()
+        start[1:] &= ~ink[:-1] | mark[1:] | first[1:]
+        begins = np.flatnonzero(start)
+        cuts = np.searchsorted(begins, offsets)
+        if not len(begins):
+            return np.zeros(0, np.int64), cuts
+        # without its white space, the text is its words in a row
+        solid = data[ink]
+        places = np.append(np.flatnonzero(start[ink]), len(solid))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(solid)])
+        distinct = words.dictionary_encode()
+        named = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.memo.get, named))
+        missing = [i for i, k in enumerate(known) if k is None]
+        if missing:
+            self._learn([named[i] for i in missing])
+            known = map(self.memo.__getitem__, named)
+        numbers = np.fromiter(known, np.int64, len(named))
+        return numbers[distinct.indices.to_numpy()], cuts
+
+    def word_numbers(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Each text as numbers of words; they hold until the next call."""
+        numbers, cuts = self.numbered(*kernel.as_bytes(pa.array(texts, pa.large_binary())))
+        return np.split(numbers, cuts[1:-1])
 
     def ids_of(self, words: np.ndarray) -> np.ndarray:
         """The ids of a sequence of word numbers, joined."""
