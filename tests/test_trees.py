@@ -55,3 +55,13 @@ def test_supersession_stops_at_pruned_nodes(spark):
     rows += [(1, "x1", "x", 2, 0, "assign", "t", 0.1), (1, "x2", "x", 2, 1, "assign", "t", 0.2), (1, "a1", "a", 2, 0, "assign", "t", 0.1), (1, "a2", "a", 2, 5, "assign", "t", 0.2)]
     df = nodes(spark, *rows).withColumns({"confidence_mean": F.col("confidence"), "prune_reason": F.when(F.col("node") == "x", "synthetic_promotion_violation")})
     assert {r.node: r.superseded_by for r in trees.supersede_assignments(df).filter("superseded_by is not null").collect()} == {"a": 1, "a1": 5}
+
+
+def test_folded_nodes_are_shuffled_once_more(spark):
+    rows = [(1, "r", None, 0, 0, "program", None, 0.0), (1, "a", "r", 1, 0, "assign", "x", 0.5), (1, "b", "r", 1, 1, "assign", "x", 0.6), (1, "c", "r", 1, 2, "show", "x", 0.9)]
+    nodes = spark.createDataFrame(rows, "program long, node string, parent string, depth int, sibling long, op string, target string, confidence double")
+    context = spark.createDataFrame([(1, "earned", True, False, "s", "fixed")], "program long, tier string, traceable boolean, synthetic boolean, source string, anchor string")
+    folded = trees.status_ladder(trees.propagate_confidence(trees.annotate_tree(nodes, context)))
+    found = trees.supersede_assignments(trees.prune_nodes(folded))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r.node: (r.inner, r.superseded_by) for r in found.collect()} == {"r": (True, None), "a": (False, 1), "b": (False, None), "c": (False, None)}

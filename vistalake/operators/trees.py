@@ -39,25 +39,25 @@ def _in_sibling_order(children: DataFrame) -> DataFrame:
 
 
 def propagate_confidence(nodes: DataFrame) -> DataFrame:
-    """Adds confidence_mean and confidence_min. A leaf has its own confidence (null: 0) in both. An inner node has the mean of its children's means and
+    """Adds confidence_mean, confidence_min and ``inner``, whether a node has children. A leaf has its own confidence (null: 0) in both. An inner node has the mean of its children's means and
     the least of their minima; a positive confidence of its own bounds the mean from below and the minimum from above."""
     spark = nodes.sparkSession
     base = written(nodes, "depth")
     own = F.coalesce("confidence", F.lit(0.0))
     deepest = base.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return nodes.withColumns({"confidence_mean": own, "confidence_min": own})
+        return nodes.withColumns({"confidence_mean": own, "confidence_min": own, "inner": F.lit(False)})
     path, below, schema = shared_dir(spark), None, None
     for depth in range(deepest, -1, -1):
         level = base.filter(F.col("depth") == depth)
         if below is None:
-            done = level.withColumns({"confidence_mean": own, "confidence_min": own})
+            done = level.withColumns({"confidence_mean": own, "confidence_min": own, "inner": F.lit(False)})
         else:
             sums = _in_sibling_order(below)
             mean = F.when(F.col("_mean").isNull(), own).when(own > 0, F.greatest(own, "_mean")).otherwise(F.col("_mean"))
             least = F.when(F.col("_min").isNull(), own).when(own > 0, F.least(own, "_min")).otherwise(F.col("_min"))
-            done = level.join(sums, ["program", "node"], "left").withColumns({"confidence_mean": mean, "confidence_min": least}).drop("_mean", "_min")
-        done = done.select(*base.columns, "confidence_mean", "confidence_min")
+            done = level.join(sums, ["program", "node"], "left").withColumns({"confidence_mean": mean, "confidence_min": least, "inner": F.col("_mean").isNotNull()}).drop("_mean", "_min")
+        done = done.select(*base.columns, "confidence_mean", "confidence_min", "inner")
         schema = done.schema
         done.drop("depth").write.parquet(f"{path}/depth={depth}")
         below = spark.read.schema(done.drop("depth").schema).parquet(f"{path}/depth={depth}")
@@ -72,15 +72,21 @@ def status_ladder(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("status", status)
 
 
+def _told_inner(nodes: DataFrame) -> DataFrame:
+    """Nodes that were folded know whether they have children; for others, each parent's row is counted before the shuffle."""
+    if "inner" in nodes.columns:
+        return nodes
+    parents = nodes.filter(F.col("parent").isNotNull()).groupBy("program", F.col("parent").alias("node")).agg(F.lit(True).alias("inner"))
+    return nodes.join(parents, ["program", "node"], "left").fillna(False, ["inner"])
+
+
 def prune_nodes(nodes: DataFrame) -> DataFrame:
     """Adds ``prune_reason``, null for a node that stays: a descriptive leaf without confidence goes, and a synthetic node that claims more than ESTIMATED;
     a node with op ``program`` never. Nodes are marked, not removed."""
-    # one row for each parent, counted before the shuffle
-    parents = nodes.filter(F.col("parent").isNotNull()).groupBy("program", F.col("parent").alias("node")).agg(F.count("*").alias("_children"))
-    empty = (F.col("status") == DESCRIPTIVE) & F.col("_children").isNull() & (F.col("confidence_mean") == 0) & (F.coalesce("confidence", F.lit(0.0)) == 0)
+    empty = (F.col("status") == DESCRIPTIVE) & ~F.col("inner") & (F.col("confidence_mean") == 0) & (F.coalesce("confidence", F.lit(0.0)) == 0)
     fake = F.col("synthetic") & F.col("status").isin(VALIDATED, EXECUTABLE)
     reason = F.when(F.col("op") != "program", F.when(empty, EMPTY_LEAF).when(fake, SYNTHETIC))
-    return nodes.join(parents, ["program", "node"], "left").withColumn("prune_reason", reason).drop("_children")
+    return _told_inner(nodes).withColumn("prune_reason", reason)
 
 
 def _folded(nodes: DataFrame) -> DataFrame:
@@ -99,12 +105,17 @@ def _folded(nodes: DataFrame) -> DataFrame:
 def supersede_assignments(nodes: DataFrame) -> DataFrame:
     """Adds ``superseded_by``: the sibling number of the next assignment to the same target under the same parent, where that has at least the node's
     confidence_mean; else null. Pruned nodes neither supersede nor are superseded, nor is anything below one."""
-    inner = nodes.filter("prune_reason is not null").join(nodes.select("program", F.col("parent").alias("node")), ["program", "node"], "left_semi")
-    open_ = nodes if inner.isEmpty() else nodes.join(_folded(nodes), ["program", "node"], "left_semi")
-    order = Window.partitionBy("program", "parent", "target").orderBy("sibling")
-    assigned = open_.filter((F.col("op") == "assign") & F.col("prune_reason").isNull() & F.col("target").isNotNull() & F.col("parent").isNotNull())
-    following = assigned.select("program", "node", F.when(F.col("confidence_mean") <= F.lead("confidence_mean").over(order), F.lead("sibling").over(order)).alias("superseded_by"))
-    return nodes.join(following.filter("superseded_by is not null"), ["program", "node"], "left")
+    nodes = _told_inner(nodes)
+    inner = nodes.filter(F.col("prune_reason").isNotNull() & F.col("inner"))
+    assigned = (F.col("op") == "assign") & F.col("prune_reason").isNull() & F.col("target").isNotNull() & F.col("parent").isNotNull()
+    if inner.isEmpty():
+        marked = nodes.withColumn("_assigned", F.coalesce(assigned, F.lit(False)))
+    else:
+        marked = nodes.join(_folded(nodes).withColumn("_open", F.lit(True)), ["program", "node"], "left").withColumn("_assigned", F.coalesce(assigned & F.col("_open"), F.lit(False))).drop("_open")
+    # all nodes run along the window, the others on their own, so that no join brings the answer back
+    order = Window.partitionBy("program", "parent", "target", "_assigned").orderBy("sibling")
+    following = F.when(F.col("_assigned") & (F.col("confidence_mean") <= F.lead("confidence_mean").over(order)), F.lead("sibling").over(order))
+    return marked.withColumn("superseded_by", following).drop("_assigned")
 
 
 def screen_promotion(nodes: DataFrame) -> DataFrame:
