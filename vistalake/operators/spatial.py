@@ -149,6 +149,12 @@ def bind(primitives: DataFrame, bindings: DataFrame) -> DataFrame:
     return bindings.join(boxes, ["frame_id", "prim_idx"]).select("frame_id", "name", "prim_idx", "kind", "cx", "cy")
 
 
+def _ill_typed() -> dict[str, Column]:
+    """Aggregates over operations with the areas of their boxes."""
+    smaller = (F.col("op") == "CONTAINS") & (F.col("a_area") < F.col("b_area"))
+    return {"n_self": F.count_if(F.col("a_idx") == F.col("b_idx")), "n_area": F.count_if(smaller)}
+
+
 def type_check_frames(primitives: DataFrame, operations: DataFrame, bindings: DataFrame) -> DataFrame:
     """Per frame: violations by rule and verdict EMPTY (no primitive), ILL_TYPED or WELL_TYPED.
 
@@ -156,13 +162,15 @@ def type_check_frames(primitives: DataFrame, operations: DataFrame, bindings: Da
     a smaller outer box; a blank binding name. Operations on missing primitives are skipped.
     """
     boxes = bbox_columns(primitives)
-    ok = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("area") >= law.MIN_AREA)
-    frames = boxes.groupBy("frame_id").agg(F.count("*").alias("n_primitives"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_invalid"))
     side = lambda p: boxes.select("frame_id", F.col("prim_idx").alias(f"{p}_idx"), F.col("area").alias(f"{p}_area"))
     ops = operations.join(side("a"), ["frame_id", "a_idx"]).join(side("b"), ["frame_id", "b_idx"])
-    itself = F.col("a_idx") == F.col("b_idx")
-    smaller = (F.col("op") == "CONTAINS") & (F.col("a_area") < F.col("b_area"))
-    by_op = ops.groupBy("frame_id").agg(F.count_if(itself).alias("n_self"), F.count_if(smaller).alias("n_area"))
+    return _type_verdicts(primitives, ops.groupBy("frame_id").agg(*[v.alias(k) for k, v in _ill_typed().items()]), bindings)
+
+
+def _type_verdicts(primitives: DataFrame, by_op: DataFrame, bindings: DataFrame) -> DataFrame:
+    boxes = bbox_columns(primitives)
+    ok = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("area") >= law.MIN_AREA)
+    frames = boxes.groupBy("frame_id").agg(F.count("*").alias("n_primitives"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_invalid"))
     blank = bindings.groupBy("frame_id").agg(F.count_if(F.trim(F.coalesce("name", F.lit(""))) == "").alias("n_blank"))
     counts = ["n_invalid", "n_self", "n_area", "n_blank"]
     all_ = frames.join(by_op, "frame_id", "left").join(blank, "frame_id", "left").fillna(0, counts)
@@ -188,13 +196,19 @@ def calibration_factors(profiles: DataFrame) -> DataFrame:
     return profiles.withColumns({"bonus": bonus, "distance_penalty": away, "ceiling": F.when(valid, F.greatest(F.lit(law.CEILING_FLOOR), F.least(F.lit(1.0), ceiling)))})
 
 
-def calibrate(primitives: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Primitives (with a column profile) whose confidence the profile's ceiling caps; verdict INVALID_PROFILE for an unknown or invalid one."""
+def _calibrated(primitives: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The primitives with raw, calibrated and verdict."""
     raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
     known = primitives.join(calibration_factors(profiles).select("profile", "ceiling"), "profile", "left").withColumn("raw", raw)
     capped = F.col("raw") > F.col("ceiling")
     verdict = F.when(F.col("ceiling").isNull(), "INVALID_PROFILE").when(~capped, "UNCAPPED").when(F.col("ceiling") < law.DEGRADED_BELOW, "DEGRADED").otherwise("CALIBRATED")
-    return known.select("frame_id", "prim_idx", "profile", "raw", F.least("raw", "ceiling").alias("calibrated"), verdict.alias("verdict")).withColumn("calibrated", F.when(F.col("verdict") != "INVALID_PROFILE", F.col("calibrated")).otherwise(F.lit(0.0)))
+    told = known.withColumn("verdict", verdict)
+    return told.withColumn("calibrated", F.when(F.col("verdict") != "INVALID_PROFILE", F.least("raw", "ceiling")).otherwise(F.lit(0.0)))
+
+
+def calibrate(primitives: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Primitives (with a column profile) whose confidence the profile's ceiling caps; verdict INVALID_PROFILE for an unknown or invalid one."""
+    return _calibrated(primitives, profiles).select("frame_id", "prim_idx", "profile", "raw", "calibrated", "verdict")
 
 
 def indexed(primitives: DataFrame) -> DataFrame:
@@ -203,15 +217,24 @@ def indexed(primitives: DataFrame) -> DataFrame:
     return valid_primitives(primitives).withColumn("prim_idx", F.row_number().over(order) - 1)
 
 
-def apply_operations(primitives: DataFrame, operations: DataFrame, max_px: float = law.ADJACENT_MAX_PX, margin: float = law.CONTAINS_MIN_MARGIN_PX) -> DataFrame:
-    """frame_id, op, a_idx, b_idx, measured, result, status of the operations (frame_id, op, a_idx, b_idx) ADJACENT and CONTAINS on indexed primitives. An
-    operation on a primitive that a frame lacks, or of another name, is skipped; a null index is none."""
+def _met(primitives: DataFrame, operations: DataFrame) -> DataFrame:
+    """The operations whose two primitives a frame has, with the columns of both (prefixes a_ and b_)."""
     side = lambda p: primitives.select("frame_id", *[F.col(c).alias(f"{p}{c}") for c in (*BOX, "confidence")], F.col("prim_idx").alias(f"{p}idx"))
-    met = operations.filter(F.col("op").isin("ADJACENT", "CONTAINS")).join(side("a_"), ["frame_id", "a_idx"]).join(side("b_"), ["frame_id", "b_idx"])
+    return operations.join(side("a_"), ["frame_id", "a_idx"]).join(side("b_"), ["frame_id", "b_idx"])
+
+
+def _applied(met: DataFrame, max_px: float, margin: float) -> DataFrame:
     near = F.col("op") == "ADJACENT"
     measured = F.when(near, edge_distance("a_", "b_")).otherwise(containment_margin("a_", "b_"))
     result = F.when(near, measured <= max_px).otherwise(measured >= margin)
-    return met.select("frame_id", "op", "a_idx", "b_idx", measured.alias("measured"), result.alias("result"), relation_status("a_", "b_").alias("status"))
+    return met.withColumns({"measured": measured, "result": result, "status": relation_status("a_", "b_")})
+
+
+def apply_operations(primitives: DataFrame, operations: DataFrame, max_px: float = law.ADJACENT_MAX_PX, margin: float = law.CONTAINS_MIN_MARGIN_PX) -> DataFrame:
+    """frame_id, op, a_idx, b_idx, measured, result, status of the operations (frame_id, op, a_idx, b_idx) ADJACENT and CONTAINS on indexed primitives. An
+    operation on a primitive that a frame lacks, or of another name, is skipped; a null index is none."""
+    met = _met(primitives, operations.filter(F.col("op").isin("ADJACENT", "CONTAINS")))
+    return _applied(met, max_px, margin).select("frame_id", "op", "a_idx", "b_idx", "measured", "result", "status")
 
 
 def process_frames(primitives: DataFrame, operations: DataFrame, bindings: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -223,13 +246,18 @@ def process_frames(primitives: DataFrame, operations: DataFrame, bindings: DataF
     """
     frames = primitives.select("frame_id").distinct()
     if profiles is not None:
-        capped = calibrate(primitives, profiles).select("frame_id", "prim_idx", "calibrated", F.col("verdict").alias("_sound"))
-        primitives = primitives.join(capped, ["frame_id", "prim_idx"]).withColumn("confidence", F.col("calibrated")).drop("calibrated", "_sound")
+        primitives = _calibrated(primitives.dropna(subset=["frame_id", "prim_idx"]), profiles).withColumn("confidence", F.col("calibrated")).select(*primitives.columns)
     parsed = indexed(primitives)
-    applied = apply_operations(parsed, operations).groupBy("frame_id").agg(
-        F.count("*").alias("n_assertions"), F.count_if("result").alias("n_true"), F.count_if(~F.col("result")).alias("n_false"), F.count_if(F.col("status") == law.HEURISTIC).alias("n_heuristic")
-    )
-    checked = type_check_frames(parsed, operations, bindings.join(parsed.select("frame_id", "prim_idx"), ["frame_id", "prim_idx"], "left_semi")).select("frame_id", F.col("n_primitives").alias("n_parsed"), F.col("verdict").alias("type_verdict"))
+    # operations meet their boxes once: what they give and what is wrong with them is counted together
+    met = _applied(_met(parsed, operations), law.ADJACENT_MAX_PX, law.CONTAINS_MIN_MARGIN_PX).withColumns({f"{p}_area": F.col(f"{p}_width") * F.col(f"{p}_height") for p in "ab"})
+    named = F.col("op").isin("ADJACENT", "CONTAINS")
+    told = met.groupBy("frame_id").agg(
+        F.count_if(named).alias("n_assertions"), F.count_if(named & F.col("result")).alias("n_true"), F.count_if(named & ~F.col("result")).alias("n_false"), F.count_if(named & (F.col("status") == law.HEURISTIC)).alias("n_heuristic"),
+        *[v.alias(k) for k, v in _ill_typed().items()],
+    )
+    applied = told.drop("n_self", "n_area")
+    bound = bindings.join(parsed.select("frame_id", "prim_idx"), ["frame_id", "prim_idx"], "left_semi")
+    checked = _type_verdicts(parsed, told.select("frame_id", "n_self", "n_area"), bound).select("frame_id", F.col("n_primitives").alias("n_parsed"), F.col("verdict").alias("type_verdict"))
     counts = ["n_assertions", "n_true", "n_false", "n_heuristic"]
     all_ = frames.join(checked, "frame_id", "left").join(applied, "frame_id", "left").fillna(0, ["n_parsed", *counts]).fillna("EMPTY", ["type_verdict"])
     ran = F.when(F.col("n_assertions") == 0, law.EMPTY).when(F.col("n_false") > 0, law.FAIL).when(F.col("n_heuristic") > 0, law.PARTIAL).otherwise(law.PASS)

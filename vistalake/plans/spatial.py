@@ -205,8 +205,8 @@ select *, 'CALIBRATED' as calibration, case when type_verdict = 'ILL_TYPED' then
 @query("process_frames", PROCESSED)
 def process_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = adapters.primitives(spark, sf_dir).withColumns({"profile": F.concat(F.lit("p"), F.col("frame_id") % 27), "width": F.when(F.col("frame_id") % 10 == 0, 0.0).otherwise(F.col("width"))})
-    given = (adapters.with_primitives(spark, sf_dir, t) for t in (adapters.OPERATIONS_SQL, adapters.BINDINGS_SQL))
-    return spatial.process_frames(p, *given, adapters.profiles(spark, sf_dir))
+    bindings = adapters.with_primitives(spark, sf_dir, adapters.BINDINGS_SQL)
+    return spatial.process_frames(p, adapters.operations(spark, sf_dir), bindings, adapters.profiles(spark, sf_dir))
 
 
 @query(
@@ -216,5 +216,5 @@ select o.frame_id, op, a_idx, b_idx, round(case op when 'ADJACENT' then {DISTANC
 from o join i a on o.frame_id = a.frame_id and o.a_idx = a.prim_idx join i b on o.frame_id = b.frame_id and o.b_idx = b.prim_idx""",
 )
 def apply_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    applied = spatial.apply_operations(spatial.indexed(adapters.primitives(spark, sf_dir)), adapters.with_primitives(spark, sf_dir, adapters.OPERATIONS_SQL))
+    applied = spatial.apply_operations(spatial.indexed(adapters.primitives(spark, sf_dir)), adapters.operations(spark, sf_dir))
     return applied.withColumn("measured", F.round("measured", 6))
