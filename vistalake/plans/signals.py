@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vistalake.operators import signals
 from vistalake.plans import adapters
-from vistalake.plans.registry import query
+from vistalake.plans.registry import query, table
 
 #: Five kinds: stripes, stripes whose rows differ in length now and then, colours, colours with a sample on the midpoint now and then, and a mixture. Sync strips are put on most signals.
 EVENTS = """
@@ -21,7 +21,11 @@ ROW_US, SLOTS = 500.0, 8
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = spark.sql(ROWS.replace("from e", "from {e}"), e=adapters.events(spark, sf_dir, EVENTS))
+    given = table(spark, sf_dir, "events")
+    # a task holds as many events as it can sort, however many there are
+    n = adapters.tasks(spark, given)
+    numbered = spark.sql(EVENTS.replace("from events", "from {events}"), events=adapters.dealt(given, n, "user_id"))
+    rows = spark.sql(ROWS.replace("from e", "from {e}"), e=numbered)
     a = F.when(F.col("lit"), 240.0).otherwise(16.0)
     colour = F.when((F.col("kind") == 3) & (F.col("event_id") % 31 == 0), F.array(*[F.lit(127.5)] * 3)).when(F.col("lit"), F.array(F.lit(250.0), F.lit(4.0), F.lit(9.0))).otherwise(F.array(F.lit(3.0), F.lit(251.0), F.lit(248.0)))
     stripe = F.when((F.col("kind") == 1) & (F.col("event_id") % 29 == 0), F.array(a, a)).otherwise(F.array(a, a + 2, a - 2, a))
@@ -29,7 +33,8 @@ def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     samples = rows.select("signal", "row_idx", F.when(is_float, colour).otherwise(stripe).alias("channels"), is_float.alias("is_float"))
     names = rows.select("signal").distinct()
     empty = names.filter("signal like '%-0'").select(F.concat("signal", F.lit("-none")).alias("signal"))
-    return names.unionByName(empty).withColumn("slots", F.lit(SLOTS)), samples
+    # joins by signal take the partitions of this side
+    return adapters.dealt(names.unionByName(empty).withColumn("slots", F.lit(SLOTS)), n, "signal"), samples
 
 
 E = f"with e as ({EVENTS}), r as ({ROWS})"
