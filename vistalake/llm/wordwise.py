@@ -147,7 +147,7 @@ class WordEncoder:
     def word_numbers(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each text as numbers of words; they hold until the next call."""
         numbers, cuts = self.numbered(*kernel.as_bytes(pa.array(texts, pa.large_binary())))
-        return np.split(numbers, cuts[1:-1])
+        return np.split(numbers, cuts[1:-1])[: len(texts)]
 
     def ids_of(self, words: np.ndarray) -> np.ndarray:
         """The ids of a sequence of word numbers, joined."""
