@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vistalake.llm.common import query, table
+from vistalake.llm.wordwise import light
 
 ERRORS = 0.08
 #: Items with fewer characters are met as they are only, between word edges: an edit makes too much of another text of them.
@@ -142,6 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     found = [spark.createDataFrame([], HITS)]
     for items in item_blocks(benchmark, block_chars=block_chars):
 
+        @light
         def search(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             finder = Finder(items)
             for b in batches:
@@ -160,6 +162,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_chars
     """The rows of ``docs`` that hold no item, with all their columns; edge cases as in contaminated()."""
     for items in item_blocks(benchmark, block_chars=block_chars):
 
+        @light
         def keep(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             finder = Finder(items)
             for b in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vistalake.llm import kernel
 from vistalake.llm.common import query, table, text_or_empty, written
-from vistalake.llm.wordwise import word_encoder
+from vistalake.llm.wordwise import give_back, word_encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -31,7 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Ranks of one length that share a row of the plan.
 BLOCK = 1024
 #: Bytes of text whose distinct words are sought together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Pieces in a bucket when ranks are given.
 BUCKET_ROWS = 100_000
 
@@ -211,6 +211,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = word_encoder(tokenizer)
         for whole in batches:
             for b in kernel.slices(whole, most=SLICE):
@@ -225,6 +226,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key:
                         for column, v in zip(out, (doc, i, start, len(part), zlib.crc32(part)), strict=True):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(cut, PIECES)
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from vistalake.llm import kernel
 from vistalake.llm.common import query, table
+from vistalake.llm.wordwise import light
 
 PASSAGE = 64
 #: Bound of the training sample: labelled documents, each with all its passages.
@@ -147,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ids = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     chosen = known.join(ids.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(MAX_TRAIN)
 
+    @light
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in kernel.slices(whole):
@@ -175,6 +177,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
     docs = docs.select(*kept)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
+    @light
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in kernel.slices(whole, text):

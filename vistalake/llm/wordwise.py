@@ -3,11 +3,16 @@
 Both public tokenizers used here cut a text at white space before they merge: no token spans the end of
 a word and the space after it. So the tokens of a text are those of its words, and a word needs
 to be encoded once in a worker process. The memo is bounded; long words go past it.
+
+Worker processes live on between tasks and stages: forget() and light() hand back what the next ones don't need.
 """
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import os
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -59,8 +64,14 @@ class WordEncoder:
 
     #: Words encoded in one call, with a special token between them.
     JOINED = 512
+    #: Calls of that size whose results, many times as large as the ids in them, are held at once.
+    TOGETHER = 8
+    #: Words after which the memo begins anew.
+    MEMO = 400_000
 
     def __init__(self, path: str, between: str = "<|endoftext|>"):
+        # a task has one core; the library's threads, one for each core of the machine, would each keep memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -80,8 +91,11 @@ class WordEncoder:
         plain = [w for w, o in zip(words, odd, strict=True) if not o]
         glue = self.between.encode()
         groups = [glue.join(plain[at : at + self.JOINED]).decode() + self.between for at in range(0, len(plain), self.JOINED)]
-        found = self.model.encode_batch_fast(groups, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32)
+        some = [np.zeros(0, np.int32)]
+        for at in range(0, len(groups), self.TOGETHER):
+            found = self.model.encode_batch_fast(groups[at : at + self.TOGETHER], add_special_tokens=False)
+            some.append(np.fromiter(chain.from_iterable(e.ids for e in found), np.int32))
+        ids = np.concatenate(some)
         ends = np.flatnonzero(ids == self.between_id)
         n = np.diff(ends, prepend=-1) - 1
         ids = np.delete(ids, ends)
@@ -112,7 +126,7 @@ class WordEncoder:
         Words end at the six white-space characters of ASCII; a comma or stop after a letter and before white space is a pre-token of its own.
         Only the distinct words of the call meet the memo.
         """
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > self.MEMO:
             self._reset()
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -169,7 +183,30 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; numpy's and Arrow's allocators would keep the most that any task has taken."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim is not None:
+        trim(0)
+
+
 def forget() -> None:
     """Frees what a worker process has learnt, before work that needs its memory and no tokenizer."""
     piece_counter.cache_clear()
     word_encoder.cache_clear()
+    give_back()
+
+
+def light(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work that needs no tokenizer, begun without what earlier tasks have left and leaving nothing itself."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
