@@ -1,7 +1,8 @@
 import public_tokenizers
 import pyarrow as pa
+import pytest
 
-from vistalake.llm import kernel, packing, quality, wordwise
+from vistalake.llm import kernel, ngram_join, packing, quality, wordwise
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,11 +20,12 @@ def test_work_without_a_tokenizer_begins_without_its_memo():
     assert list(work(iter([1, 2]))) == [1, 2] and held == [0, 0]
 
 
-def test_classifier_frees_what_a_tokenizer_has_learnt(spark):
-    # one worker: it packs, then scores
+@pytest.mark.parametrize("work", [lambda docs: quality.score(docs, None), lambda docs: ngram_join.members(docs.withColumnRenamed("doc_id", "id"))], ids=["quality", "ngram_join"])
+def test_other_work_frees_what_a_tokenizer_has_learnt(spark, work):
+    # one worker: it packs, then does other work
     docs = spark.createDataFrame([(i, f"word{i} and more of them") for i in range(50)], "doc_id long, text string").coalesce(1)
     packing.token_pieces(docs, PATH).collect()
-    quality.score(docs, None).collect()
+    work(docs).collect()
 
     def learnt(batches):
         for _ in batches:

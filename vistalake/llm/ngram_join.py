@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from vistalake.llm import kernel
 from vistalake.llm.common import query, table, written
 from vistalake.llm.components import components
+from vistalake.llm.wordwise import forget, light
 
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -102,6 +103,7 @@ def frequent_columns(docs: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarr
         parts = [order[cuts[b] : cuts[b + 1]] for b in some]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([h[p].tobytes() for p in parts], pa.binary()), pa.array([n[p].tobytes() for p in parts], pa.binary())], ["block", "h", "n"])
 
+    @light
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
@@ -122,6 +124,7 @@ def frequent_columns(docs: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarr
         yield from flush()
 
     def add(_: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hs, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in groups:
             h = np.concatenate([hs, *[np.frombuffer(x, np.uint64) for x in b.column("h").to_pylist()]])
@@ -156,6 +159,7 @@ def may_link(n: np.ndarray, m: np.ndarray, overlap: np.ndarray) -> np.ndarray:
 def members(docs: DataFrame) -> DataFrame:
     """id, n_shingles, the set's two digests and its histogram, for every row of ``docs`` (id, text)."""
 
+    @light
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in kernel.slices(whole):
@@ -174,6 +178,7 @@ def prefix_entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], blo
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent)
 
+    @light
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
         rank = np.empty(len(known), np.int64)
@@ -252,6 +257,7 @@ def meetings(entries: DataFrame) -> DataFrame:
     entries of long columns: h, the row p, its size q and the largest size that a partner there can have."""
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         h, ids, n, cap, end, short = _block(batches)
         at = np.arange(len(h))
         out = []
@@ -309,6 +315,7 @@ def crossing_pairs(mixed: DataFrame, single: DataFrame) -> DataFrame:
         counts = np.frombuffer(b"".join(v or bytes(BUCKETS) for v in hist.to_pylist()), np.uint8).reshape(-1, BUCKETS)
         return (*(flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "n", "cap", "c")), counts, known)
 
+    @light
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         size = 0
@@ -345,6 +352,7 @@ def allowed(pairs: DataFrame, single: DataFrame) -> DataFrame:
     left = pairs.join(single.select(F.col("id").alias("p"), F.col("n_shingles").alias("pn"), F.col("hist").alias("ph")), "p", "left")
     both = left.join(single.select(F.col("id").alias("q"), F.col("n_shingles").alias("qn"), F.col("hist").alias("qh")), "q", "left")
 
+    @light
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column("ph").to_pylist(), b.column("qh").to_pylist()
@@ -361,6 +369,7 @@ def bloom(ids: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
     """A Bloom filter of ids, of at most 8 MB: it spares most other texts the way to a join, and past its size it only spares fewer."""
     bits = min(most_bits, 1 << max(12, (12 * ids.count()).bit_length()))
 
+    @light
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(bits // 64, np.uint64)
         for b in batches:
@@ -384,6 +393,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and text of the rows of ``docs`` whose id is in ``ids``."""
     given = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
+    @light
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = given.value
         for b in batches:
@@ -404,6 +414,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     left = pairs.join(texts.select(F.col("id").alias("p"), F.col("text").alias("s")), "p")
     both = left.join(texts.select(F.col("id").alias("q"), F.col("text").alias("t")), "q").select("p", "q", "s", "t")
 
+    @light
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in kernel.slices(whole, "s"):
