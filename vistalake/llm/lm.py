@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vistalake.llm import kernel
 from vistalake.llm.common import query, table, text_or_empty, written
-from vistalake.llm.wordwise import forget, word_encoder
+from vistalake.llm.wordwise import forget, give_back, word_encoder
 
 FOLDS, HELD = 7, 2
 WIDTH, HIDDEN = 16, 16
@@ -204,12 +204,14 @@ def subword_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
     """row, doc_id, held and the text's ids as 16-bit numbers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = word_encoder(tokenizer)
         for whole in batches:
             for b in kernel.slices(whole):
                 numbers = encoder.word_numbers(b.column("text").cast(pa.binary()).to_pylist())
                 ids = [encoder.ids_of(w).astype(np.uint16).tobytes() for w in numbers]
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held"), pa.array(ids, pa.binary())], ["row", "doc_id", "held", "ids"])
+        give_back()
 
     return docs.select("row", "doc_id", "held", "text").mapInArrow(encode, "row long, doc_id long, held boolean, ids binary")
 
