@@ -1,5 +1,7 @@
 """Trees that the given tables don't hold: deep, wide, and pruned inside."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,15 @@ def test_folded_nodes_are_shuffled_once_more(spark):
     found = trees.supersede_assignments(trees.prune_nodes(folded))
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert {r.node: (r.inner, r.superseded_by) for r in found.collect()} == {"r": (True, None), "a": (False, 1), "b": (False, None), "c": (False, None)}
+
+
+def test_report_means_follow_no_order(spark):
+    """Active nodes of a program come from many tasks: however they are dealt, their mean is the sum of their digits by their number, without a last digit of its own."""
+    means = [0.6575, 0.5970833333333333, 0.9299999999999999, 0.7058333333333332, 0.7, 0.6095833333333333]
+    shape = "program int, parent string, tier string, status string, prune_reason string, superseded_by long, eligible boolean, confidence_mean double"
+    rows = [(p, None if i == 0 else "r", "lab", "ESTIMATED", None, None, False, means[(i + p) % 6]) for p in range(12) for i in range(6)]
+    odd = [(20, None, "lab", "ESTIMATED", None, None, False, 1e300), (20, "r", "lab", "ESTIMATED", None, None, False, 1.0), (21, None, "lab", "ESTIMATED", "x", None, False, 0.5), (22, None, "lab", "ESTIMATED", None, None, False, float("nan"))]
+    for seed in range(2):
+        got = {r.program: r.confidence_mean for r in trees.tree_report(spark.createDataFrame(rows + odd, shape).orderBy(F.rand(seed)).repartition(7)).collect()}
+        assert {got[p] for p in range(12)} == {math.fsum(means) / 6}
+        assert got[20] == 5e299 and got[21] == 0.0 and got[22] != got[22]

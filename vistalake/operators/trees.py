@@ -8,7 +8,7 @@ sibling order, by a window that runs along them. So depth costs rounds, a node w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistalake.functions.shared import shared_dir, written
@@ -138,6 +138,14 @@ def optimized(nodes: DataFrame, context: DataFrame) -> DataFrame:
     return screen_promotion(supersede_assignments(prune_nodes(status_ladder(propagate_confidence(annotate_tree(nodes, context))))))
 
 
+def _any_order_mean(value: Column) -> Column:
+    """The mean of a column of doubles, null without any. Their decimal digits (22 after the point) are added, a sum that no order of rows changes; values
+    beyond 10,000,000, infinite or not a number are added as doubles."""
+    exact = F.sum(value.try_cast("decimal(30,22)"))
+    plain = F.count(value) > F.count_if(F.abs(value) <= 1e7)
+    return F.when(plain, F.avg(value)).otherwise(exact.cast("double") / F.count(value))
+
+
 def tree_report(nodes: DataFrame) -> DataFrame:
     """Per program of optimized nodes: how many there are, are pruned, superseded, active, of each status, eligible; mean and least confidence of the active ones
     (0 and 1 without any), the root's tier and whether it is a capture's."""
@@ -150,7 +158,7 @@ def tree_report(nodes: DataFrame) -> DataFrame:
         F.count_if(active).alias("n_active"),
         *[F.count_if(active & (F.col("status") == s)).alias(f"n_{s.lower()}") for s in (DESCRIPTIVE, ESTIMATED, VALIDATED, EXECUTABLE)],
         F.count_if("eligible").alias("n_eligible"),
-        F.coalesce(F.avg(F.when(active, F.col("confidence_mean"))), F.lit(0.0)).alias("confidence_mean"),
+        F.coalesce(_any_order_mean(F.when(active, F.col("confidence_mean"))), F.lit(0.0)).alias("confidence_mean"),
         F.coalesce(F.min(F.when(active, F.col("confidence_mean"))), F.lit(1.0)).alias("confidence_min"),
         F.max(F.when(F.col("parent").isNull(), F.col("tier"))).alias("tier"),
         F.coalesce(F.bool_or(F.col("parent").isNull() & (tier_rank(F.col("tier")) >= 2)), F.lit(False)).alias("real_capture"),
