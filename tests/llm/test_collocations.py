@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.oracle import compare
@@ -82,3 +83,50 @@ def test_border_failures_are_counted_by_further_passes(spark):
 def test_empty(spark):
     assert C.mine(frame(spark, [("a", "b")]).limit(0)).count() == 0
     assert C.mine(frame(spark, [(None, None), ("", "x")])).count() == 0
+
+
+def test_whole_texts_are_read_three_times(spark):
+    """Once for the sample and by two passes: the second one, which a failing border asks for, also spells what the sample did not."""
+    rows = texts(150, 2) * 2 + [(f"only here {i % 3} and there", "en") for i in range(9)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    given = frame(spark, rows)
+    got = C.mine(given.mapInArrow(counting, given.schema), 5).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 5)
+    assert read.value <= 3 * len(rows)
+
+
+def test_samples_of_all_and_of_none(spark, monkeypatch):
+    rows = texts(80, 3) * 2
+    for share in (1, 10**9):
+        monkeypatch.setattr(C, "SAMPLE", share)
+        assert len(same(spark, rows, 5)) > 50
+
+
+def test_a_phrase_beside_the_sample_without_failures(spark):
+    """Five words whose parts the sample proposes, but which it never holds: nothing fails, and a pass over all texts spells them."""
+    row = F.xxhash64("text", "id")
+    drawn = F.pmod(F.xxhash64("row", "text"), F.lit(C.SAMPLE)) == 0
+    made = lambda text: spark.range(1000).select(F.lit(text).alias("text"), F.lit("en").alias("lang"), "id").withColumn("row", row).drop("id")
+    given = made("ax bx cx dx. bx cx dx ex").filter(drawn).unionByName(made("ax bx cx dx ex").filter(~drawn))
+    found, known, words, passes = C.spelled(given, 100)
+    n = given.filter("text = 'ax bx cx dx ex'").count()
+    assert passes == 1 and {r.phrase: r.a for r in known.collect()}["ax bx cx dx ex"] == n > 800
+    assert [(r["lang"], r["n"]) for r in words.collect()] == [("en", 5 * n + 8 * (given.count() - n))]
+
+
+def test_words_of_all_lengths_have_hashes_of_their_own():
+    """A word's hashes depend on its bytes and nothing around it."""
+    r = random.Random(4)
+    words = sorted({bytes(r.choice(b"ab") for _ in range(k)) for k in [*range(1, 40), 511, 512, 513, 600] for _ in range(20)})
+    own = C.lanes_of(words)
+    assert len({a for a, _ in own.tolist()}) == len({b for _, b in own.tolist()}) == len(words)
+    data = b" ".join(words)
+    first = [data.index(b" " + w + b" ") + 1 for w in words[1:-1]]
+    one, two = C.lanes(np.frombuffer(data, np.uint8), np.array(first), np.array([f + len(w) for f, w in zip(first, words[1:-1])]))
+    assert one.tolist() == own[1:-1, 0].tolist() and two.tolist() == own[1:-1, 1].tolist()

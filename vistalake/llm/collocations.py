@@ -4,14 +4,16 @@ A sample of the documents proposes phrases, level by level, at a lowered thresho
 without the last word and the part without the first one are proposed: the proposals and their negative border, as far as they occur. A phrase of
 the border that turns out frequent is a failure: it joins the proposals, and a further pass counts what that makes countable. When no failure is left, every frequent
 phrase has been counted over all documents, since all of its parts are frequent. The sample only decides how much is counted, never a result.
+What is frequent is spelled from the sample, and what the sample does not hold by the further pass.
 
 Proposals travel as a Bloom filter, whose size is bounded (FILTER_BITS); past that it only spares fewer counts. Phrases travel as 64 + 32 bit keys made of
-cryptographic hashes of their words, counted in tasks before they are shuffled; the text of frequent ones is read back at the end.
+two hashes of their words, counted in tasks before they are shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,6 @@ from pyspark.sql import functions as F
 
 from vistalake.llm import kernel
 from vistalake.llm.common import query, table, written
-from vistalake.llm.ngram_join import places
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: One document in SAMPLE proposes phrases that occur PROPOSE times in it; at LEAST * SAMPLE_SHARE of the share that one would expect.
@@ -38,35 +39,35 @@ GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
 #: Odd multipliers of the two parts of a key. Fixed values.
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 COUNTED = np.dtype([("key", "<u8"), ("check", "<u4"), ("n", "<u4")])
 ONCE = np.dtype([("key", "<u8"), ("check", "<u4")])
 
 
-def lanes(words: list[bytes]) -> np.ndarray:
-    """Two hashes of 64 bits of each word or language."""
-    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words), np.uint64).reshape(-1, 2)
+def lanes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of 64 bits of each word, from its length and its bytes, eight at a time. Long words, of which there are few, get cryptographic ones."""
+    size = (end - first).astype(np.uint64)
+    one, two = size * FIRST, size * SECOND
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    long = size > np.uint64(kernel.LONG_WORD)
+    some, at = np.flatnonzero(~long), 0
+    while len(some):
+        left = end[some] - first[some] - at
+        part = eight[first[some] + at] & HEAD[np.minimum(left, 8)]
+        one[some], two[some] = kernel.mixed(one[some] * FIRST + part), kernel.mixed(two[some] * SECOND + part)
+        some, at = some[left > 8], at + 8
+    for i in np.flatnonzero(long).tolist():
+        one[i], two[i] = np.frombuffer(hashlib.blake2b(data[first[i] : end[i]].tobytes(), digest_size=16).digest(), "<u8")
+    return one, two
 
 
-class Known:
-    """The hashes of words that a worker process has met, by a hash of its own; a slot holds one word, the last that fell on it."""
-
-    def __init__(self, bits: int = 19):
-        self.mask = np.uint64((1 << bits) - 1)
-        self.key, self.lanes = np.zeros(1 << bits, np.uint64), np.zeros((1 << bits, 2), np.uint64)
-
-    def lanes_of(self, h: np.ndarray, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = (h & self.mask).astype(np.int64)
-        one, two = self.lanes[slot, 0], self.lanes[slot, 1]
-        new = np.flatnonzero((self.key[slot] != h) | (h == 0))
-        if len(new):
-            _, at, which = np.unique(h[new], return_index=True, return_inverse=True)
-            found = lanes([data[a:b].tobytes() for a, b in zip(first[new[at]].tolist(), end[new[at]].tolist(), strict=True)])
-            one[new], two[new] = found[which, 0], found[which, 1]
-            self.key[slot[new[at]]], self.lanes[slot[new[at]]] = h[new[at]], found
-        return one, two
-
-
-KNOWN = Known()
+def lanes_of(words: list[bytes]) -> np.ndarray:
+    """The hashes of words or languages of a list, in two columns."""
+    end = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return np.stack(lanes(np.frombuffer(b"".join(words), np.uint8), np.append(0, end[:-1]) if len(end) else end, end), 1)
 
 
 class Tokens:
@@ -89,15 +90,14 @@ class Tokens:
         langs = batch.column("lang").fill_null("und").dictionary_encode()
         self.names = langs.dictionary.to_pylist()
         self.lang = langs.indices.to_numpy()[doc] if len(self.first) else np.zeros(0, np.int32)
-        h = kernel.word_hashes(data, self.first, self.end, kernel.EXACT)
-        self.one, self.two = KNOWN.lanes_of(h, data, self.first, self.end)
-        self.of_lang = lanes([n.encode() for n in self.names])
-
-    def word(self, i: int) -> bytes:
-        return self.data[self.first[i] : self.end[i]].tobytes()
+        self.one, self.two = lanes(data, self.first, self.end)
+        self.of_lang = lanes_of([n.encode() for n in self.names])
 
     def phrase(self, at: int, n: int) -> str:
-        return b" ".join(self.word(i) for i in range(at, at + n)).decode()
+        whole = self.data[self.first[at] : self.end[at + n - 1]].tobytes()
+        if b"\t" in whole or b"  " in whole:
+            whole = b" ".join(w for w in whole.replace(b"\t", b" ").split(b" ") if w)
+        return whole.decode()
 
     def checks(self, at: np.ndarray, n: int) -> np.ndarray:
         """The second part of the keys of the phrases of n words at some positions."""
@@ -106,27 +106,32 @@ class Tokens:
             h = kernel.mixed(h * SECOND + self.two[at + k])
         return (h >> np.uint64(32)).astype(np.uint32)
 
-    def countable(self, passes: list[dict[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For n = 1, 2, ... the positions of phrases of n words whose two parts of n - 1 words are proposed in the last of ``passes`` and that no earlier pass counted, and
-        their keys. From the second pass on, what a pass counts anew is proposed at once, so that it closes over the failures that it starts from."""
+    def countable(self, passes: list[dict[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For n = 1, 2, ... the positions of phrases of n words whose two parts of n - 1 words are proposed in one of ``passes``, their keys, and whether no pass before the last
+        one counted them. From the second pass on, what a pass counts anew is proposed at once, so that it closes over the failures that it starts from."""
         total = len(self.first)
         start = kernel.mixed(self.of_lang[self.lang, 0] * FIRST + self.one) if total else np.zeros(0, np.uint64)
         before: dict[int, np.ndarray] = {}
+        proposed_before: dict[int, np.ndarray] = {}
         keys, member = np.zeros(total, np.uint64), np.zeros(total + 1, bool)
         for i, proposed in enumerate(passes):
             at, key, last = np.arange(total), start, i == len(passes) - 1
             for n in range(1, LONGEST + 1):
                 fresh = ~before[n][at] if n in before else np.ones(len(at), bool)
                 if last:
-                    yield n, at[fresh], key[fresh]
+                    yield n, at, key, fresh
                 else:
                     before.setdefault(n, np.zeros(total, bool))[at] = True
                 if n not in proposed or n == LONGEST:
                     break
                 # a later filter does not hold what an earlier one held by chance
-                ok = np.any([contains(p[n], key) for p in passes[: i + 1]], 0)
+                ok = proposed_before[n][at] if n in proposed_before else np.zeros(len(at), bool)
                 if i and n > 1:
                     ok |= fresh
+                open_ = np.flatnonzero(~ok)
+                ok[open_] = contains(proposed[n], key[open_])
+                if not last:
+                    proposed_before.setdefault(n, np.zeros(total, bool))[at[ok]] = True
                 member[:] = False
                 member[at[ok]] = True
                 keys[at] = key
@@ -136,31 +141,57 @@ class Tokens:
                 key = kernel.mixed(keys[at] * FIRST + self.one[at + n])
 
 
+def places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Three places of each key, which is spread already, in a filter of a power of two of ``bits``."""
+    for s in (0, 21, 37):
+        yield (keys >> np.uint64(s)) & np.uint64(bits - 1)
+
+
 def contains(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether a Bloom filter may hold the keys. The first place alone settles most that it doesn't."""
-    hit = lambda at: (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-    first, *others = places(keys, 64 * len(words))
-    ok = hit(first)
-    some = np.flatnonzero(ok)
-    for at in others:
-        some = some[hit(at[some])]
-    ok[:] = False
+    some = np.arange(len(keys))
+    for i in range(3):
+        at = next(itertools.islice(places(keys[some], 64 * len(words)), i, None))
+        some = some[(words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0]
+    ok = np.zeros(len(keys), bool)
     ok[some] = True
     return ok
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys once each, in order, a place of each, and how often it occurs."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else order
+    return ordered[starts], order[starts], np.diff(np.append(starts, len(keys)))
+
+
+def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in the order of keys, and where those of equal keys begin."""
+    a = a[np.argsort(np.ascontiguousarray(a["key"]))]
+    key, check = np.ascontiguousarray(a["key"]), np.ascontiguousarray(a["check"])
+    same = key[1:] == key[:-1]
+    if np.any(same & (check[1:] != check[:-1])):
+        a = a[np.lexsort((check, key))]
+        key, check = a["key"], a["check"]
+        same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
+    return a, np.flatnonzero(np.append(True, ~same)) if len(a) else np.zeros(0, np.int64)
+
+
 def summed(parts: list[np.ndarray]) -> np.ndarray:
     """Counts of equal keys together, in the order of the keys."""
-    a = np.concatenate(parts)
-    a = a[np.argsort(a["key"], kind="stable")]
-    if not len(a):
-        return a
-    starts = np.flatnonzero(np.append(True, (a["key"][1:] != a["key"][:-1]) | (a["check"][1:] != a["check"][:-1])))
+    a, starts = runs(np.concatenate(parts))
     out = a[starts]
-    out["n"] = np.add.reduceat(a["n"], starts)
+    if len(out):
+        out["n"] = np.add.reduceat(a["n"], starts)
     return out
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a merge that a key belongs to; in the order of keys, so that ordered keys are cut, not dealt."""
+    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
 def packed(a: np.ndarray) -> bytes:
     """Counts as bytes; most phrases occur once in a task, and those need no count."""
     once = a[a["n"] == 1]
@@ -179,38 +210,67 @@ def unpacked(body: bytes) -> np.ndarray:
     return out
 
 
-def counted(docs: DataFrame, passes: list[dict[int, np.ndarray]], only: int, least: int, parts: int) -> DataFrame:
-    """n, key, check, count: phrases that occur at least ``least`` times among those that the last of ``passes`` (filters by level) makes
-    countable and no earlier one did; of ``only`` words, or of any number where that is 0."""
-    given = docs.sparkSession.sparkContext.broadcast(passes)
+def swept(docs: DataFrame, passes: list[dict[int, np.ndarray]], sizes: range, least: int, parts: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """One pass over the documents, in rows of three kinds.
+
+    n > 0: key, check, count of phrases of ``sizes`` words that occur at least ``least`` times, among those that the last of ``passes`` (filters by level) makes
+    countable and no earlier one did. n = 0: key, check, lang, phrase, once each, of phrases of two words and more that the filter ``wanted`` holds, and of all that are
+    counted beside it. n null: lang, count: how many word occurrences a language has."""
+    given = docs.sparkSession.sparkContext.broadcast((passes, wanted))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes, wanted = given.value
         held: dict[int, list[np.ndarray]] = {}
-        size = 0
+        texts: list[tuple[np.ndarray, np.ndarray, list, list]] = []
+        seen = np.zeros(0, np.uint64)
+        words: dict[str, int] = {}
+        size = told = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            nonlocal held
             for n in list(held):
                 a = summed(held.pop(n))
-                part = (a["key"] % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                a, part = a[order], part[order]
-                starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(a) else []
-                ends = np.append(starts[1:], len(a)) if len(a) else []
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([n] * len(starts), pa.int32()), pa.array([packed(a[i:j]) for i, j in zip(starts, ends, strict=True)], pa.binary())], ["part", "n", "body"])
+                    part = part_of(a["key"], parts)
+                    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                    bodies = [packed(a[i:j]) for i, j in zip(starts, np.append(starts[1:], len(a)), strict=True)]
+                    yield sheet(part[starts], [n] * len(starts), bodies)
+
+        def spelled() -> Iterator[pa.RecordBatch]:
+            key, check = (np.concatenate([t[i] for t in texts]) for i in (0, 1))
+            names, phrases = (np.array([x for t in texts for x in t[i]], object) for i in (2, 3))
+            texts.clear()
+            part = part_of(key, parts)
+            for p in np.unique(part).tolist():
+                at = np.flatnonzero(part == p)
+                yield sheet([p], [0], None, key[at].view(np.int64), check[at].astype(np.int64), names[at].tolist(), phrases[at].tolist())
 
         for whole in batches:
             for b in kernel.slices(whole, most=SLICE):
                 t = Tokens(b)
-                for n, at, key in t.countable(given.value):
-                    if only and n != only:
-                        continue
-                    u, where, k = np.unique(key, return_index=True, return_counts=True)
-                    a = np.empty(len(u), COUNTED)
-                    a["key"], a["check"], a["n"] = u, t.checks(at[where], n), k
-                    held.setdefault(n, []).append(a)
-                    size += len(a)
+                for name, k in zip(t.names, np.bincount(t.lang, minlength=len(t.names)).tolist(), strict=True):
+                    words[name] = words.get(name, 0) + k
+                for n, at, key, fresh in t.countable(passes):
+                    if n in sizes:
+                        if fresh.all():
+                            mine, own = at, key
+                        else:
+                            mine, own = at[fresh], key[fresh]
+                        u, where, k = distinct(own)
+                        a = np.empty(len(u), COUNTED)
+                        a["key"], a["check"], a["n"] = u, t.checks(mine[where], n), k
+                        held.setdefault(n, []).append(a)
+                        size += len(a)
+                    if wanted is not None and n > 1:
+                        tell = contains(wanted, key)
+                        if n in sizes:
+                            tell |= fresh
+                        u, where, _ = distinct(key[tell])
+                        new = seen[np.minimum(np.searchsorted(seen, u), len(seen) - 1)] != u if len(seen) else np.ones(len(u), bool)
+                        u, mine = u[new], at[tell][where[new]]
+                        if len(u):
+                            seen = np.sort(np.append(u, seen if len(seen) < HELD else []).astype(np.uint64))
+                            texts.append((u, t.checks(mine, n), [t.names[i] for i in t.lang[mine]], [t.phrase(i, n) for i in mine.tolist()]))
+                            told += len(u)
                 if size > HELD:
                     # phrases of several slices are one entry; what is still much is sent on
                     held = {n: [summed(a)] for n, a in held.items()}
@@ -218,29 +278,70 @@ def counted(docs: DataFrame, passes: list[dict[int, np.ndarray]], only: int, lea
                     if size > HELD // 2:
                         yield from sent()
                         size = 0
+                if told > HELD // 8:
+                    yield from spelled()
+                    told = 0
         yield from sent()
+        if texts:
+            yield from spelled()
+        if words:
+            yield sheet([0], [None], None, list(words.values()), None, list(words))
 
     def merge(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_n: dict[int, list[np.ndarray]] = {}
+        seen: set[tuple[int, int]] = set()
+        total: dict[str, int] = {}
         for b in batches:
-            for n, body in zip(b.column("n").to_pylist(), b.column("body").to_pylist(), strict=True):
-                by_n.setdefault(n, []).append(unpacked(body))
-        for n, bodies in by_n.items():
-            a = np.concatenate(bodies)
-            a = a[np.lexsort((a["check"], a["key"]))]
-            starts = np.flatnonzero(np.append(True, (a["key"][1:] != a["key"][:-1]) | (a["check"][1:] != a["check"][:-1])))
-            total = np.add.reduceat(a["n"].astype(np.int64), starts)
-            often = total >= least
-            a, total = a[starts[often]], total[often]
+            for n, body, key, check, lang, phrase in zip(*(b.column(c).to_pylist() for c in ("n", "body", "key", "check", "lang", "phrase")), strict=True):
+                if n:
+                    by_n.setdefault(n, []).append(unpacked(body))
+                elif n is None:
+                    for name, k in zip(lang, key, strict=True):
+                        total[name] = total.get(name, 0) + k
+                else:
+                    new = [i for i, k in enumerate(zip(key, check, strict=True)) if k not in seen]
+                    seen.update((key[i], check[i]) for i in new)
+                    if new:
+                        yield row([0] * len(new), *([x[i] for i in new] for x in (key, check)), None, *([x[i] for i in new] for x in (lang, phrase)))
+        if total:
+            yield row([None] * len(total), None, None, list(total.values()), list(total), None)
+        for n in list(by_n):
+            a, starts = runs(np.concatenate(by_n.pop(n)))
+            count = np.add.reduceat(a["n"].astype(np.int64), starts)
+            often = count >= least
+            a, count = a[starts[often]], count[often]
             for k in range(0, len(a), 100_000):
                 some = a[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n] * len(some), pa.int32()), pa.array(some["key"].astype(np.uint64).view(np.int64)), pa.array(some["check"].astype(np.int64)), pa.array(total[k : k + 100_000])], ["n", "key", "check", "count"]
-                )
+                yield row([n] * len(some), some["key"].astype(np.uint64).view(np.int64), some["check"].astype(np.int64), count[k : k + 100_000], None, None)
 
-    sent_ = docs.mapInArrow(tally, "part long, n int, body binary")
+    sent_ = docs.mapInArrow(tally, "part long, n int, body binary, key array<long>, check array<long>, lang array<string>, phrase array<string>")
     # as many tasks as parts: their number follows the input
-    return written(sent_.repartition(parts, "part").groupBy("part").applyInArrow(merge, "n int, key long, check long, count long"))
+    return written(sent_.repartition(parts, "part").groupBy("part").applyInArrow(merge, "n int, key long, check long, count long, lang string, phrase string"))
+
+
+def row(n: list, *columns: object) -> pa.RecordBatch:
+    """A batch of swept()'s rows; a column that is None is null."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    cells = [pa.nulls(len(n), t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), *cells], ["n", "key", "check", "count", "lang", "phrase"])
+
+
+def sheet(part: object, n: list, bodies: list[bytes] | None, *columns: object) -> pa.RecordBatch:
+    """A batch of what a task of swept() sends to a merge: packed counts, or one row with columns as arrays."""
+    types = [pa.list_(t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string())]
+    given = (*columns, *[None] * (4 - len(columns)))
+    cells = [pa.nulls(len(n), t) if c is None else pa.array([c], t) for c, t in zip(given, types, strict=True)]
+    body = pa.nulls(len(n), pa.binary()) if bodies is None else pa.array(bodies, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(n, pa.int32()), body, *cells], ["part", "n", "body", "key", "check", "lang", "phrase"])
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    return rows.filter("n > 0").select("n", "key", "check", "count")
+
+
+def named(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """lang, phrase, key, check, a: the phrases of ``often`` that ``rows`` spell."""
+    return rows.filter("n = 0").select("lang", "phrase", "key", "check").join(often.select("key", "check", F.col("count").alias("a")), ["key", "check"])
 
 
 def filter_of(keys: DataFrame) -> np.ndarray:
@@ -251,7 +352,7 @@ def filter_of(keys: DataFrame) -> np.ndarray:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(bits // 64, np.uint64)
         for b in batches:
-            for at in places(b.column("key").to_numpy(), bits):
+            for at in places(b.column("key").to_numpy().view(np.uint64), bits):
                 np.bitwise_or.at(got, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
         parts = got.reshape(-1, words)
         for i in np.flatnonzero(parts.any(1)).tolist():
@@ -267,118 +368,65 @@ def filter_of(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def proposals(docs: DataFrame, least: int) -> tuple[dict[int, DataFrame], dict[int, np.ndarray], int]:
-    """By level, the sample's frequent phrases and their filter; and the parts into which a full count should go."""
-    sample = docs.filter(F.pmod(F.xxhash64("row", "text"), F.lit(SAMPLE)) == 0).select("text", "lang")
+def proposals(docs: DataFrame, least: int) -> tuple[DataFrame, dict[int, DataFrame], dict[int, np.ndarray], int]:
+    """The sample; by level, its frequent phrases and their filter; and the parts into which a full count should go."""
+    sample = written(docs.filter(F.pmod(F.xxhash64("row", "text"), F.lit(SAMPLE)) == 0).select("text", "lang"))
     low = max(2, int(least / SAMPLE * SAMPLE_SHARE))
     found: dict[int, DataFrame] = {}
     filters: dict[int, np.ndarray] = {}
     parts = PARTS
     for n in range(1, LONGEST):
-        found[n] = counted(sample, [filters], n, low, parts)
+        found[n] = counts(swept(sample, [filters], range(n, n + 1), low, parts))
         filters = filters | {n: filter_of(found[n])}
         if n == 1:
             words = found[1].agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
             parts = max(PARTS, int(words // PART))
-    return found, filters, max(PARTS, int(SAMPLE * words // PART))
+    return sample, found, filters, max(PARTS, int(SAMPLE * words // PART))
 
 
-def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
-    """All phrases (n, key, check, count) of up to LONGEST words of one piece that occur at least ``least`` times, and the number of full passes."""
-    proposed, filters, parts = proposals(docs, least)
-    passes = [filters]
-    found = new = counted(docs.select("text", "lang"), passes, 0, least, parts)
-    while True:
-        given = docs.sparkSession.sparkContext.broadcast(passes[-1])
-
-        def failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                n, key = b.column("n").to_numpy(), b.column("key").to_numpy()
-                bad = np.zeros(len(n), bool)
-                for level, words in given.value.items():  # noqa: B023
-                    at = np.flatnonzero(n == level)
-                    bad[at] = ~contains(words, key[at].view(np.uint64))
-                yield b.filter(pa.array(bad))
-
-        # what a further pass counts it has proposed as well: only the first pass leaves failures
-        failures = written(new.filter(F.col("n") < LONGEST).mapInArrow(failed, new.schema)) if len(passes) == 1 else None
-        levels = [r.n for r in failures.select("n").distinct().collect()] if failures is not None else []
-        if not levels:
-            return found, len(passes)
-        for n in levels:
-            proposed[n] = proposed[n].unionByName(failures.filter(F.col("n") == n))
-        passes.append(passes[-1] | {n: filter_of(proposed[n]) for n in levels})
-        new = counted(docs.select("text", "lang"), passes, 0, least, parts)
-        found = found.unionByName(new)
-
-
-def spelled(docs: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """lang, phrase and key, check of the frequent phrases of two words and more; and lang, n: how many word occurrences a language has."""
-    parts = max(PARTS, often.count() // (PART // 4))
-    filters = {n: filter_of(often.filter(F.col("n") == n)) for n in range(1, LONGEST)}
-    given = docs.sparkSession.sparkContext.broadcast((filters, filter_of(often.filter("n > 1"))))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, wanted = given.value
-        seen = np.zeros(0, np.uint64)
-        words: dict[str, int] = {}
-        held: list[tuple[np.ndarray, list, list, np.ndarray]] = []
-        size = 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            key, check = (np.concatenate([h[i] for h in held]) for i in (0, 3))
-            names, phrases = (np.array([x for h in held for x in h[i]], object) for i in (1, 2))
-            held.clear()
-            part = (key % np.uint64(parts)).astype(np.int64)
-            for p in np.unique(part).tolist():
-                at = np.flatnonzero(part == p)
-                cells = [pa.array([key[at].view(np.int64)], pa.list_(pa.int64())), pa.array([check[at].astype(np.int64)], pa.list_(pa.int64())), *[pa.array([x[at].tolist()], pa.list_(pa.string())) for x in (names, phrases)]]
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *cells, pa.nulls(1, pa.list_(pa.int64()))], ["part", "key", "check", "lang", "phrase", "words"])
+def spelled(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """All phrases (n, key, check, count) of up to LONGEST words of one piece that occur at least ``least`` times; lang, phrase, key, check, a of those of two words and more; lang, n: how many
+    word occurrences a language has; and the number of full passes that count. The sample spells nearly all; a second pass spells the rest beside its counts."""
+    sample, proposed, filters, parts = proposals(docs, least)
+    whole, passes, all_sizes = docs.select("text", "lang"), [filters], range(1, LONGEST + 1)
+    first = swept(whole, passes, all_sizes, least, parts)
+    found, words = counts(first), first.filter("n is null").groupBy("lang").agg(F.sum("count").alias("n"))
+    given = docs.sparkSession.sparkContext.broadcast(filters)
 
-        for whole in batches:
-            for b in kernel.slices(whole, most=SLICE):
-                t = Tokens(b)
-                for name, k in zip(t.names, np.bincount(t.lang, minlength=len(t.names)).tolist(), strict=True):
-                    words[name] = words.get(name, 0) + k
-                for n, at, key in t.countable([filters]):
-                    if n > 1:
-                        u, where = np.unique(key, return_index=True)
-                        fresh = contains(wanted, u) & ~np.isin(u, seen)
-                        u, at = u[fresh], at[where[fresh]]
-                        if len(u):
-                            seen = np.sort(np.append(u, seen if len(seen) < HELD else []).astype(np.uint64))
-                            held.append((u, [t.names[i] for i in t.lang[at]], [t.phrase(i, n) for i in at.tolist()], t.checks(at, n)))
-                            size += len(u)
-                if size > HELD // 8:
-                    yield from sent()
-                    size = 0
-        if held:
-            yield from sent()
-        none = [pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *none, pa.array([list(words)], pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.string())), pa.array([list(words.values())], pa.list_(pa.int64()))], ["part", "key", "check", "lang", "phrase", "words"])
-
-    def once(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the phrases of a part, each once; words of languages, summed
-        seen: set[tuple[int, int]] = set()
-        total: dict[str, int] = {}
+    def failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, check, lang, phrase, words in zip(*(b.column(c).to_pylist() for c in ("key", "check", "lang", "phrase", "words")), strict=True):
-                if words is not None:
-                    for name, k in zip(lang, words, strict=True):
-                        total[name] = total.get(name, 0) + k
-                    continue
-                new = [i for i, k in enumerate(zip(key, check, strict=True)) if k not in seen]
-                seen.update((key[i], check[i]) for i in new)
-                if new:
-                    cells = [pa.array([x[i] for i in new], t) for x, t in ((lang, pa.string()), (phrase, pa.string()), (key, pa.int64()), (check, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*cells, pa.nulls(len(new), pa.int64())], ["lang", "phrase", "key", "check", "n"])
-        if total:
-            k = len(total)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "phrase", "key", "check", "n"])
+            n, key = b.column("n").to_numpy(), b.column("key").to_numpy()
+            bad = np.zeros(len(n), bool)
+            for level, held in given.value.items():
+                at = np.flatnonzero(n == level)
+                bad[at] = ~contains(held, key[at].view(np.uint64))
+            yield b.filter(pa.array(bad))
+
+    # what a second pass counts it has proposed as well: only the first one leaves failures
+    failures = written(found.filter(F.col("n") < LONGEST).mapInArrow(failed, found.schema))
+    failing = {r["n"]: r["count"] for r in failures.groupBy("n").count().collect()}
+    phrases = found.filter("n > 1")
+    n_phrases = phrases.count()
+    to_spell = max(PARTS, n_phrases // (PART // 4))
+    known = written(named(swept(sample, passes, range(0), least, to_spell, filter_of(phrases)), phrases))
+    missing = written(phrases.join(known.select("key", "check"), ["key", "check"], "left_anti"))
+    if failing:
+        passes = [filters, filters | {n: filter_of(proposed[n].unionByName(failures.filter(F.col("n") == n))) for n in failing}]
+        # many failures, many phrases counted beyond them: then only the frequent ones are spelled, by a pass of their own
+        few = sum(failing.values()) <= n_phrases // 2
+        second = swept(whole, passes, all_sizes, least, parts, filter_of(missing) if few else None)
+        found, missing = found.unionByName(counts(second)), missing.unionByName(counts(second).filter("n > 1"))
+        if few:
+            return found, known.unionByName(named(second, missing)), words, 2
+    if not missing.isEmpty():
+        known = known.unionByName(named(swept(whole, passes, range(0), least, to_spell, filter_of(missing)), missing))
+    return found, known, words, len(passes)
+
 
-    lists = docs.select("text", "lang").mapInArrow(spell, "part long, key array<long>, check array<long>, lang array<string>, phrase array<string>, words array<long>")
-    rows = written(lists.repartition(parts, "part").groupBy("part").applyInArrow(once, "lang string, phrase string, key long, check long, n long"))
-    return rows.filter("phrase is not null").select("lang", "phrase", "key", "check"), rows.filter("phrase is null").select("lang", "n")
+def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
+    """The phrases that spelled() counts, and the number of full passes."""
+    found, _, _, passes = spelled(docs, least)
+    return found, passes
 
 
 def cuts(phrases: DataFrame) -> DataFrame:
@@ -391,9 +439,9 @@ def cuts(phrases: DataFrame) -> DataFrame:
                 split = [p.encode().split(b" ") for p in b.column("phrase").to_pylist()]
                 size = np.array([len(w) for w in split], np.int64)
                 own = np.zeros((len(split), LONGEST, 2), np.uint64)
-                flat = lanes([w for s in split for w in s])
+                flat = lanes_of([w for s in split for w in s])
                 own[np.repeat(np.arange(len(split)), size), np.concatenate([np.arange(s) for s in size]) if len(size) else []] = flat
-                base = lanes([x.encode() for x in b.column("lang").to_pylist()])
+                base = lanes_of([x.encode() for x in b.column("lang").to_pylist()])
 
                 def key(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                     h, c = base[:, 0], base[:, 1]  # noqa: B023
@@ -419,10 +467,8 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text"
     """
     row = F.xxhash64(*docs.columns)
     given = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), row.alias("row"))
-    found, _ = frequent(given, least)
-    phrases, words = spelled(given, found)
+    found, known, words, _ = spelled(given, least)
     often = found.select("key", "check", "count")
-    known = phrases.join(often, ["key", "check"]).withColumnRenamed("count", "a")
     parted = written(cuts(known))
     # a phrase that always stands in a longer one stands in one that is longer by a word as often
     longer = parted.filter("size > 2 and k = size - 1").select(F.col("l_key").alias("key"), F.col("l_check").alias("check"), "a").unionByName(
