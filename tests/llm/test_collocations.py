@@ -130,3 +130,16 @@ def test_words_of_all_lengths_have_hashes_of_their_own():
     first = [data.index(b" " + w + b" ") + 1 for w in words[1:-1]]
     one, two = C.lanes(np.frombuffer(data, np.uint8), np.array(first), np.array([f + len(w) for f, w in zip(first, words[1:-1])]))
     assert one.tolist() == own[1:-1, 0].tolist() and two.tolist() == own[1:-1, 1].tolist()
+
+
+def test_counts_travel_in_as_many_batches_for_any_number_of_parts():
+    r = np.random.default_rng(5)
+    a = np.zeros(50_000, C.COUNTED)
+    a["key"], a["check"], a["n"] = np.sort(r.integers(0, 2**64, len(a), np.uint64)), r.integers(0, 2**32, len(a)), r.choice([1, 1, 1, 7], len(a))
+    for parts in (1, 40, 2000):
+        batches = list(C.packed(3, a, parts))
+        assert [b.column("n").unique().to_pylist() for b in batches] == [[-3], [3]] and max(len(b) for b in batches) <= parts
+        back = np.concatenate([C.unpacked(b.column("body"), n < 0) for b, n in zip(batches, (-3, 3))])
+        assert np.array_equal(np.sort(back, order="key"), a)
+        one = batches[0].slice(len(batches[0]) - 1)
+        assert set(C.part_of(C.unpacked(one.column("body"), True)["key"], parts).tolist()) == set(one.column("part").to_pylist())

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,11 +94,15 @@ class Tokens:
         self.one, self.two = lanes(data, self.first, self.end)
         self.of_lang = lanes_of([n.encode() for n in self.names])
 
-    def phrase(self, at: int, n: int) -> str:
-        whole = self.data[self.first[at] : self.end[at + n - 1]].tobytes()
-        if b"\t" in whole or b"  " in whole:
-            whole = b" ".join(w for w in whole.replace(b"\t", b" ").split(b" ") if w)
-        return whole.decode()
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        """The text of the phrases of n words at some positions, a space between words."""
+        w = (at[:, None] + np.arange(n)).ravel()
+        gap = np.arange(len(w)) % n < n - 1
+        size = self.end[w] - self.first[w] + gap
+        stop = np.cumsum(size)
+        text = self.data[np.repeat(self.first[w] - stop + size, size) + np.arange(stop[-1])]
+        text[stop[gap] - 1] = 0x20
+        return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(0, stop[n - 1 :: n])), pa.py_buffer(text)]).cast(pa.string())
 
     def checks(self, at: np.ndarray, n: int) -> np.ndarray:
         """The second part of the keys of the phrases of n words at some positions."""
@@ -192,21 +197,32 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def packed(a: np.ndarray) -> bytes:
-    """Counts as bytes; most phrases occur once in a task, and those need no count."""
-    once = a[a["n"] == 1]
-    bare = np.empty(len(once), ONCE)
-    bare["key"], bare["check"] = once["key"], once["check"]
-    return len(once).to_bytes(8, "little") + bare.tobytes() + a[a["n"] > 1].tobytes()
-
-
-def unpacked(body: bytes) -> np.ndarray:
-    n = int.from_bytes(body[:8], "little")
-    bare = np.frombuffer(body, ONCE, n, 8)
-    more = np.frombuffer(body, COUNTED, offset=8 + n * ONCE.itemsize)
-    out = np.ones(n + len(more), COUNTED)
-    out["key"][:n], out["check"][:n], out["n"][:n] = bare["key"], bare["check"], 1
-    out[n:] = more
+def cut_at(part: np.ndarray) -> np.ndarray:
+    """Where the runs of equal parts begin and the last one ends."""
+    return np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+
+
+def packed(n: int, a: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Ordered counts of phrases of n words as rows of bytes, one a part, from one buffer. Most phrases occur once in a task, and those need no count: their rows have -n."""
+    once = a["n"] == 1
+    bare = np.empty(np.count_nonzero(once), ONCE)
+    bare["key"], bare["check"] = a["key"][once], a["check"][once]
+    for kind, every in ((-n, bare), (n, a[~once])):
+        for k in range(0, len(every), 1 << 24):
+            some = every[k : k + (1 << 24)]
+            part = part_of(some["key"], parts)
+            edges = cut_at(part)
+            body = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * some.itemsize).astype(np.int32)), pa.py_buffer(some.view(np.uint8))])
+            yield sheet(part[edges[:-1]], kind, body)
+
+
+def unpacked(bodies: pa.Array, once: bool) -> np.ndarray:
+    flat, _ = kernel.as_bytes(bodies)
+    if not once:
+        return np.frombuffer(flat, COUNTED)
+    bare = np.frombuffer(flat, ONCE)
+    out = np.empty(len(bare), COUNTED)
+    out["key"], out["check"], out["n"] = bare["key"], bare["check"], 1
     return out
 
 
@@ -221,28 +237,24 @@ def swept(docs: DataFrame, passes: list[dict[int, np.ndarray]], sizes: range, le
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes, wanted = given.value
         held: dict[int, list[np.ndarray]] = {}
-        texts: list[tuple[np.ndarray, np.ndarray, list, list]] = []
+        texts: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
         seen = np.zeros(0, np.uint64)
         words: dict[str, int] = {}
         size = told = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
             for n in list(held):
-                a = summed(held.pop(n))
-                if len(a):
-                    part = part_of(a["key"], parts)
-                    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                    bodies = [packed(a[i:j]) for i, j in zip(starts, np.append(starts[1:], len(a)), strict=True)]
-                    yield sheet(part[starts], [n] * len(starts), bodies)
+                yield from packed(n, summed(held.pop(n)), parts)
 
         def spelled() -> Iterator[pa.RecordBatch]:
             key, check = (np.concatenate([t[i] for t in texts]) for i in (0, 1))
-            names, phrases = (np.array([x for t in texts for x in t[i]], object) for i in (2, 3))
+            names, phrases = (pa.concat_arrays([t[i] for t in texts]) for i in (2, 3))
             texts.clear()
             part = part_of(key, parts)
-            for p in np.unique(part).tolist():
-                at = np.flatnonzero(part == p)
-                yield sheet([p], [0], None, key[at].view(np.int64), check[at].astype(np.int64), names[at].tolist(), phrases[at].tolist())
+            order = np.argsort(part, kind="stable")
+            edges = cut_at(part[order]).tolist()
+            told = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check.astype(np.int64)), names, phrases], ["key", "check", "lang", "phrase"]).take(pa.array(order))
+            yield sheet(part[order[edges[:-1]]], 0, pa.array([stream(told.slice(i, j - i)) for i, j in itertools.pairwise(edges)], pa.binary()))
 
         for whole in batches:
             for b in kernel.slices(whole, most=SLICE):
@@ -269,8 +281,9 @@ def swept(docs: DataFrame, passes: list[dict[int, np.ndarray]], sizes: range, le
                         u, mine = u[new], at[tell][where[new]]
                         if len(u):
                             seen = np.sort(np.append(u, seen if len(seen) < HELD else []).astype(np.uint64))
-                            texts.append((u, t.checks(mine, n), [t.names[i] for i in t.lang[mine]], [t.phrase(i, n) for i in mine.tolist()]))
-                            told += len(u)
+                            phrases = t.phrases(mine, n)
+                            texts.append((u, t.checks(mine, n), pa.array(t.names, pa.string()).take(pa.array(t.lang[mine])), phrases))
+                            told += len(u) + phrases.nbytes // 64
                 if size > HELD:
                     # phrases of several slices are one entry; what is still much is sent on
                     held = {n: [summed(a)] for n, a in held.items()}
@@ -285,26 +298,33 @@ def swept(docs: DataFrame, passes: list[dict[int, np.ndarray]], sizes: range, le
         if texts:
             yield from spelled()
         if words:
-            yield sheet([0], [None], None, list(words.values()), None, list(words))
+            told = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "count"])
+            yield sheet([0], None, pa.array([stream(told)], pa.binary()))
 
     def merge(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_n: dict[int, list[np.ndarray]] = {}
-        seen: set[tuple[int, int]] = set()
+        texts: list[pa.Table] = []
         total: dict[str, int] = {}
         for b in batches:
-            for n, body, key, check, lang, phrase in zip(*(b.column(c).to_pylist() for c in ("n", "body", "key", "check", "lang", "phrase")), strict=True):
-                if n:
-                    by_n.setdefault(n, []).append(unpacked(body))
-                elif n is None:
-                    for name, k in zip(lang, key, strict=True):
-                        total[name] = total.get(name, 0) + k
+            for n in pc.unique(b.column("n")).to_pylist():
+                rows = b.filter(pc.is_null(b.column("n")) if n is None else pc.equal(b.column("n"), n))
+                if n is None:
+                    for body in rows.column("body"):
+                        for name, k in zip(*(c.to_pylist() for c in pa.ipc.open_stream(body.as_buffer()).read_all().columns), strict=True):
+                            total[name] = total.get(name, 0) + k
+                elif n:
+                    by_n.setdefault(abs(n), []).append(unpacked(rows.column("body"), n < 0))
                 else:
-                    new = [i for i, k in enumerate(zip(key, check, strict=True)) if k not in seen]
-                    seen.update((key[i], check[i]) for i in new)
-                    if new:
-                        yield row([0] * len(new), *([x[i] for i in new] for x in (key, check)), None, *([x[i] for i in new] for x in (lang, phrase)))
+                    texts += [pa.ipc.open_stream(body.as_buffer()).read_all() for body in rows.column("body")]
         if total:
             yield row([None] * len(total), None, None, list(total.values()), list(total), None)
+        if texts:
+            told = pa.concat_tables(texts)
+            key, check = told.column("key").to_numpy(), told.column("check").to_numpy()
+            order = np.lexsort((check, key))
+            once = order[np.append(True, (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]]))]
+            for b in told.take(pa.array(once)).combine_chunks().to_batches(max_chunksize=100_000):
+                yield row([0] * len(b), b.column("key"), b.column("check"), None, b.column("lang"), b.column("phrase"))
         for n in list(by_n):
             a, starts = runs(np.concatenate(by_n.pop(n)))
             count = np.add.reduceat(a["n"].astype(np.int64), starts)
@@ -314,7 +334,7 @@ def swept(docs: DataFrame, passes: list[dict[int, np.ndarray]], sizes: range, le
                 some = a[k : k + 100_000]
                 yield row([n] * len(some), some["key"].astype(np.uint64).view(np.int64), some["check"].astype(np.int64), count[k : k + 100_000], None, None)
 
-    sent_ = docs.mapInArrow(tally, "part long, n int, body binary, key array<long>, check array<long>, lang array<string>, phrase array<string>")
+    sent_ = docs.mapInArrow(tally, "part long, n int, body binary")
     # as many tasks as parts: their number follows the input
     return written(sent_.repartition(parts, "part").groupBy("part").applyInArrow(merge, "n int, key long, check long, count long, lang string, phrase string"))
 
@@ -322,17 +342,20 @@ def swept(docs: DataFrame, passes: list[dict[int, np.ndarray]], sizes: range, le
 def row(n: list, *columns: object) -> pa.RecordBatch:
     """A batch of swept()'s rows; a column that is None is null."""
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    cells = [pa.nulls(len(n), t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    cells = [pa.nulls(len(n), t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), *cells], ["n", "key", "check", "count", "lang", "phrase"])
 
 
-def sheet(part: object, n: list, bodies: list[bytes] | None, *columns: object) -> pa.RecordBatch:
-    """A batch of what a task of swept() sends to a merge: packed counts, or one row with columns as arrays."""
-    types = [pa.list_(t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string())]
-    given = (*columns, *[None] * (4 - len(columns)))
-    cells = [pa.nulls(len(n), t) if c is None else pa.array([c], t) for c, t in zip(given, types, strict=True)]
-    body = pa.nulls(len(n), pa.binary()) if bodies is None else pa.array(bodies, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(n, pa.int32()), body, *cells], ["part", "n", "body", "key", "check", "lang", "phrase"])
+def sheet(part: object, n: int | None, bodies: pa.Array) -> pa.RecordBatch:
+    """A batch of what a task of swept() sends to merges, a row for a part. Bytes only: Spark's writer sizes arrays anew for each row."""
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([n] * len(bodies), pa.int32()), bodies], ["part", "n", "body"])
+
+
+def stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def counts(rows: DataFrame) -> DataFrame:
